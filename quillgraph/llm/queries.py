@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import cut, fresh_dir, table
+
+
+def op1_warc_seekable_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read, write
+
+    return read(write(table(spark, sf_dir, "pages", "page_id", "url", "html"), fresh_dir(spark, "warc")))
+
+
+def op2_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .huffman import digests, encode
+
+    return digests(encode(table(spark, sf_dir, "documents", "doc_id", "text"), fresh_dir(spark, "tokens"), vocabulary=50_257))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +37,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op5_hash_tree_sharding, op6_quality_rules)}
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, token_pieces
+
+    return pack(cut(spark, token_pieces(table(spark, sf_dir, "documents", "doc_id", "text"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_huffman_token_files, op3_simhash_near_dedup, op5_hash_tree_sharding, op6_quality_rules, op7_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
+
+_HEX = "sha1(coalesce(html, ''))"
+_FIVE = "('0x' || substr({h}, {at}, 5))::INTEGER"
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({_FIVE.format(h='hex', at=1 + 5 * k)} >> {shift}) & 31), 1)" for k in range(8) for shift in (15, 10, 5, 0)
+)
+ORACLE_SQL["op1_warc_seekable_bundles"] = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, {_HEX} AS hex FROM pages),
+     g AS (SELECT hex, max(page_id) AS holder FROM p GROUP BY hex)
+SELECT page_id, n AS payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < holder THEN holder END AS refers_to
+FROM p JOIN g USING (hex)
+"""

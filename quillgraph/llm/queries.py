@@ -43,7 +43,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut(spark, token_pieces(table(spark, sf_dir, "documents", "doc_id", "text"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_huffman_token_files, op3_simhash_near_dedup, op5_hash_tree_sharding, op6_quality_rules, op7_best_fit_packing)}
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that share a passage: the longest such overlap."""
+    from pyspark.sql import functions as F
+
+    from .decontamination import overlaps
+
+    found = overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    longest = F.max(F.struct("n_words", "n_equal", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("m")
+    return found.groupBy("doc_id", "item_id").agg(longest).select("doc_id", "item_id", (-F.col("m.d")).alias("doc_start"), (-F.col("m.i")).alias("item_start"), "m.n_words", "m.n_equal")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_huffman_token_files, op3_simhash_near_dedup, op5_hash_tree_sharding, op6_quality_rules, op7_best_fit_packing, op10_spaced_seed_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
 
 _HEX = "sha1(coalesce(html, ''))"

@@ -25,6 +25,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return predict(docs, *fit(docs.where(~held_out(docs["doc_id"]))))
+
+
 def op5_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import even_tree, shard
 
@@ -61,7 +68,7 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return found.groupBy("doc_id", "item_id").agg(longest).select("doc_id", "item_id", (-F.col("m.d")).alias("doc_start"), (-F.col("m.i")).alias("item_start"), "m.n_words", "m.n_equal")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_huffman_token_files, op3_simhash_near_dedup, op5_hash_tree_sharding, op6_quality_rules, op7_best_fit_packing, op8_kneser_ney_scoring, op10_spaced_seed_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_huffman_token_files, op3_simhash_near_dedup, op4_language_id, op5_hash_tree_sharding, op6_quality_rules, op7_best_fit_packing, op8_kneser_ney_scoring, op10_spaced_seed_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
 
 _HEX = "sha1(coalesce(html, ''))"

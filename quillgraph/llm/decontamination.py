@@ -201,5 +201,5 @@ def aligned(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that overlap with the benchmark."""
-    found = overlaps(docs, benchmark).select("doc_id").distinct()
+    found = common.settle(docs.sparkSession, overlaps(docs, benchmark).select("doc_id").distinct())
     return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")

@@ -57,6 +57,12 @@ def op8_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs.where(~held_out(docs["doc_id"])), fresh_dir(spark, "model")))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that share a passage: the longest such overlap."""
     from pyspark.sql import functions as F
@@ -68,7 +74,7 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return found.groupBy("doc_id", "item_id").agg(longest).select("doc_id", "item_id", (-F.col("m.d")).alias("doc_start"), (-F.col("m.i")).alias("item_start"), "m.n_words", "m.n_equal")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_huffman_token_files, op3_simhash_near_dedup, op4_language_id, op5_hash_tree_sharding, op6_quality_rules, op7_best_fit_packing, op8_kneser_ney_scoring, op10_spaced_seed_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_huffman_token_files, op3_simhash_near_dedup, op4_language_id, op5_hash_tree_sharding, op6_quality_rules, op7_best_fit_packing, op8_kneser_ney_scoring, op9_secret_scan, op10_spaced_seed_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
 
 _HEX = "sha1(coalesce(html, ''))"

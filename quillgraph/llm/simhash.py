@@ -142,7 +142,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, segments: int = 3, words:
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` without all but the smallest ``doc_id`` of each component.
 
-    Rows without an id cannot be named as copies of one another, and stay.
+    Rows without an id cannot be named as copies of one another, and stay; rows that repeat an id
+    are one document, and go or stay together.
     """
     found = near_duplicates(docs, **settings).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = common.settle(docs.sparkSession, found)  # the planner broadcasts it only if it is small
+    return docs.join(found, docs["doc_id"] == found["doc_id"], "left_anti")

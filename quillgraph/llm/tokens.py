@@ -11,25 +11,30 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
+from itertools import islice
 
 #: Units that a worker process keeps.
-UNITS = 800_000
+UNITS = 1_000_000
 
 #: White space to the tokenizers' patterns; Python's own class also has \x1c-\x1f.
 _WS = r"\t-\r \x85\xa0  -     　"
 _SPACED = re.compile(r"\s\s|\s\Z")
 _UNIT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: The same units where no two white spaces are neighbours and none is last: at spaces and line ends.
+_FAST = re.compile(r"[ \n]?[^ \n]+")
 _WORDS = re.compile(f"[^{_WS}]+")
+#: Units whose pieces are plain: one space or line end, Latin letters, ASCII signs but the apostrophe.
+_PLAIN = re.compile(r"([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-&(-/:-@\[-`{-~]*)")
 _ODD = re.compile(r"[\x1c-\x1f]")
 _made: dict[str, Encoder] = {}
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 
 def _space_units(text: str) -> list[str]:
     """Units of a tokenizer that joins one space to the word behind it."""
-    if _SPACED.search(text):
-        return _UNIT.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    return (_UNIT if _SPACED.search(text) else _FAST).findall(text)
 
 
 def _word_units(text: str) -> list[str]:
@@ -38,53 +43,84 @@ def _word_units(text: str) -> list[str]:
     return [x.lower() for x in units] if text.isascii() else units
 
 
+def _byte_names() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is printable, or
+    else the next one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """``ids`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, file: str, units):
+    def __init__(self, file: str, units, lower: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         # the strings of special tokens are ordinary text in a corpus
         self.tokenizer.encode_special_tokens = True
-        self.units, self.cache = units, {}
-
-    def _raw(self, units: list[str]) -> dict[str, bytes]:
-        import numpy as np
-
-        out = {}
-        for a in range(0, len(units), 4096):
-            part = units[a : a + 4096]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                out[u] = np.array(e.ids, "<u4").tobytes()
-        return out
+        self.units, self.lower, self.cache = units, lower, {}
+        self.pieces: dict[str, bytes] = {}
+        self.names = str.maketrans({chr(b): c for b, c in _byte_names().items()})
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece, from the tokenizer's model."""
+        got = self.pieces.get(piece)
+        if got is None:
+            raw = piece.encode().decode("latin-1").translate(self.names)
+            got = array("I", [t.id for t in self.tokenizer.model.tokenize(raw)]).tobytes()
+            if len(piece) < 4:  # signs and short words
+                self.pieces[piece] = got
+        return got
 
     def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of units that the cache lacks. A full stop or comma behind a letter is a piece of its own."""
-        cores = {u: u[:-1] for u in units if len(u) > 2 and u[-1] in ".," and u[-2].isalpha() and ord(u[-2]) < 0x250}
-        ends = {u[-1] for u in cores}
-        asked = (units - cores.keys()) | {c for c in cores.values() if c not in self.cache} | {e for e in ends if e not in self.cache}
-        new = self._raw(list(asked))
-        get = lambda u: new[u] if u in new else self.cache[u]
-        new |= {u: get(c) + get(u[-1]) for u, c in cores.items()}
-        for u, b in new.items():
-            if len(self.cache) >= UNITS:
-                break
-            self.cache[u] = b
+        """Ids of units that the cache lacks.
+
+        Plain units are cut here and go to the tokenizer's model, which is what takes the least time;
+        all others go through the whole tokenizer.
+        """
+        new, rest = {}, []
+        for u in units:
+            m = _PLAIN.fullmatch(u)
+            if not m:
+                rest.append(u)
+                continue
+            sep, word, signs = m.groups()
+            if self.lower:
+                parts = self._piece(word.lower())
+            elif sep == "\n":
+                parts = self._piece(sep) + self._piece(word)
+            else:
+                parts = self._piece(sep + word)
+            new[u] = parts + self._piece(signs) if signs else parts
+        for a in range(0, len(rest), 4096):
+            part = rest[a : a + 4096]
+            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                new[u] = array("I", e.ids).tobytes()
+        room = UNITS - len(self.cache)
+        self.cache.update(new if len(new) <= room else dict(islice(new.items(), max(room, 0))))
         return new
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.units(x) if x else [] for x in texts]
-        cache = self.cache
-        missing = {u for units in cut for u in units if u not in cache}
-        if missing:
-            new = self._learn(missing)
-            if len(cache) >= UNITS:
-                get = lambda u: cache[u] if u in cache else new[u]
-                return [b"".join(map(get, units)) for units in cut]
-        get = cache.__getitem__
-        return [b"".join(map(get, units)) for units in cut]
+        get, units_of = self.cache.get, self.units
+        out: list[list[bytes | None]] = []
+        gaps: list[tuple[int, list[tuple[int, str]]]] = []
+        for k, text in enumerate(texts):
+            # a text's units are looked up once, while they are at hand
+            units = units_of(text) if text else []
+            found = list(map(get, units))
+            if None in found:
+                gaps.append((k, [(i, u) for i, (u, x) in enumerate(zip(units, found)) if x is None]))
+            out.append(found)
+        if gaps:
+            new = self._learn({u for _, gap in gaps for _, u in gap})
+            for k, gap in gaps:
+                found = out[k]
+                for i, u in gap:
+                    found[i] = new[u]
+        return list(map(b"".join, out))
 
 
 def encoder(name: str, folder: str | None = None) -> Encoder:
@@ -97,5 +133,6 @@ def encoder(name: str, folder: str | None = None) -> Encoder:
             import public_tokenizers
 
             file = public_tokenizers.path(name)
-        _made[key] = Encoder(file, _word_units if name.startswith("word_") else _space_units)
+        word = name.startswith("word_")
+        _made[key] = Encoder(file, _word_units if word else _space_units, word)
     return _made[key]

@@ -34,6 +34,13 @@ def unescape(s: str) -> str:
     return re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", one, s, flags=re.S)
 
 
+def resolve(base: str, iri: str) -> str:
+    """``iri`` against ``base``; an absolute one stays as it is, and an empty fragment stays too."""
+    if not base or re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", iri):
+        return iri
+    return urljoin(base, iri) + ("#" if iri.endswith("#") else "")
+
+
 class Turtle:
     """Turtle and TriG. ``scope`` keeps blank nodes of different files apart, and the same in every run."""
 
@@ -112,7 +119,7 @@ class Turtle:
         self.graph = self.default
 
     def iri(self, token: str) -> str:
-        return urljoin(self.base, unescape(token[1:-1])) if self.base else unescape(token[1:-1])
+        return resolve(self.base, unescape(token[1:-1]))
 
     def add(self, s: Node, p: str, o: Node) -> None:
         self.out.append((s[0], s[1], p, *o, self.graph))
@@ -217,7 +224,7 @@ class RdfXml:
     _XML = "{http://www.w3.org/XML/1998/namespace}"
 
     def _base(self, e, base: str) -> str:
-        return urljoin(base, e.get(self._XML + "base", "")) if e.get(self._XML + "base") else base
+        return resolve(base, e.get(self._XML + "base", "")) if e.get(self._XML + "base") else base
 
     def _lang(self, e, lang):
         return e.get(self._XML + "lang", lang) or None
@@ -226,9 +233,9 @@ class RdfXml:
         base, lang = self._base(e, base), self._lang(e, lang)
         get = lambda n: e.get(f"{{{RDF}}}{n}")
         if get("about") is not None:
-            s = (urljoin(base, get("about")), "iri", None, None)
+            s = (resolve(base, get("about")), "iri", None, None)
         elif get("ID") is not None:
-            s = (urljoin(base, "#" + get("ID")), "iri", None, None)
+            s = (resolve(base, "#" + get("ID")), "iri", None, None)
         else:
             s = self.blank(get("nodeID"))
         if self.name(e.tag) != RDF + "Description":
@@ -259,7 +266,7 @@ class RdfXml:
         base, lang = self._base(e, base), self._lang(e, lang)
         get = lambda n: e.get(f"{{{RDF}}}{n}")
         if get("resource") is not None or get("nodeID") is not None:
-            o = (urljoin(base, get("resource")), "iri", None, None) if get("resource") is not None else self.blank(get("nodeID"))
+            o = (resolve(base, get("resource")), "iri", None, None) if get("resource") is not None else self.blank(get("nodeID"))
             self.attributes(e, o, lang)
             return o
         how = get("parseType")

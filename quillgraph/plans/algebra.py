@@ -372,7 +372,7 @@ class Compiler:
     def _slice(self, node: Slice) -> Solutions:
         inner = self(node.inner)
         df = inner.df
-        if not _ordered(node.inner):
+        if df.columns and not _ordered(node.inner):
             df = df.orderBy(*df.columns)  # a limit means the same rows in every run
         if node.offset:
             df = df.offset(node.offset)

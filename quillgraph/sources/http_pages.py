@@ -101,6 +101,7 @@ class HttpPages(DataSource):
 
 def read_pages(spark: SparkSession, url: str, params: dict | None = None, headers: dict | None = None, **options) -> DataFrame:
     """``pos``, ``doc`` of an endpoint."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters over
     spark.dataSource.register(HttpPages)
     reader = spark.read.format("http_pages").option("params", json.dumps(params or {})).option("headers", json.dumps(headers or {}))
     for k, v in options.items():

@@ -185,12 +185,21 @@ def _merge_pairs(folder: str, bits: int):
     shards = 1 << (2 * bits)
 
     def merge(table: pa.Table) -> pa.Table:
-        v, w, c = [], [], []
+        v, w, c, words, counts = [], [], [], [], []
         for row in table.to_pylist():
+            if row["kind"] == _WORD:
+                words.append(_unzip(row["a"], "<u8", 8))
+                counts.append(_unzip(row["b"], "<u8"))
+                continue
             v.append(np.repeat(_unzip(row["a"], "<u8", 6), _unzip(row["b"], "<u4")))
             w.append(_unzip(row["c"], "<u8", 6))
             c.append(_unzip(row["d"], "<u4"))
-        shard = table.column("shard")[0].as_py()
+        shard, out = table.column("shard")[0].as_py(), []
+        if words:  # passed on, merged, to the word shards
+            key, count = _sum(np.concatenate(words), np.concatenate(counts))
+            out.append((shard, _WORD, len(key), _zip(key, 8), _zip(count.astype("<u8")), b"", b""))
+        if not v:
+            return pa.Table.from_batches([_rows(out)])
         v, w, c = np.concatenate(v), np.concatenate(w), np.concatenate(c)
         key = pair_key(v, w, bits)
         order = np.argsort(key)
@@ -201,7 +210,7 @@ def _merge_pairs(folder: str, bits: int):
         big = np.flatnonzero(count > 255)
         path = _save(folder, f"pairs-{shard:05d}", key, big.astype("<u8"), count[big].astype("<u8"), np.minimum(count, 255).astype(np.uint8))
         of = np.bincount(np.minimum(count, 5), minlength=6)[1:5]
-        out = [(shard, _FILE, len(key), path.encode(), str(len(big)).encode(), b"", b""), (shard, _COUNTS, 0, of.astype("<u8").tobytes(), b"", b"", b"")]
+        out += [(shard, _FILE, len(key), path.encode(), str(len(big)).encode(), b"", b""), (shard, _COUNTS, 0, of.astype("<u8").tobytes(), b"", b"", b"")]
         first_word, one, two, more = _sum(v, count == 1, count == 2, count >= 3)
         second_word, before = _sum(w, np.ones(len(w), np.int64))
         for kind, words, stats in ((_FIRST, first_word, (one, two, more)), (_SECOND, second_word, (before,))):
@@ -285,11 +294,10 @@ def fit(docs: DataFrame, folder: str) -> Model:
     bits = 0
     while (SHARD_BYTES << (2 * bits)) < size or bits < 1:
         bits += 1
+    # one shuffle of the counts; the word counts pass through the pair shards
     counted = text.mapInArrow(_count(bits), _BLOB)
-    # the blobs are read twice, by the pair shards and by the word shards
-    counted = common.cut(spark, counted)
-    pairs = common.cut(spark, counted.where(f"kind = {_PAIR}").groupBy("shard").applyInArrow(_merge_pairs(folder, bits), _BLOB))
-    stats = counted.where(f"kind = {_WORD}").union(pairs.where(f"kind in ({_FIRST}, {_SECOND})"))
+    pairs = common.cut(spark, counted.groupBy("shard").applyInArrow(_merge_pairs(folder, bits), _BLOB))
+    stats = pairs.where(f"kind in ({_WORD}, {_FIRST}, {_SECOND})")
     words = common.cut(spark, stats.groupBy("shard").applyInArrow(_merge_words(folder), _BLOB))
     # two rows a shard
     of = np.zeros(4)

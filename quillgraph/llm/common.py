@@ -6,8 +6,6 @@ outlives a task goes to the folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,28 +13,25 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
+from ..runtime import components
+
+__all__ = ["components", "cut", "filesystem", "fresh_dir", "let", "pieces", "settle", "shared_dir", "table"]
+
 #: Rows of an Arrow batch that Spark hands to Python; long texts make the default of 10,000 too many.
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
+    """The folder that driver and executors share; batches are also made small enough for long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return named.rstrip("/")
+    return runtime.shared_dir(spark)
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder (not created)."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    shared_dir(spark)
+    return runtime.fresh_dir(spark, what)
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -66,7 +61,8 @@ def filesystem(uri: str):
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, also when lambdas use it many times."""
-    return F.transform(F.array(value), body)[0]
+    # the lambda has one argument whatever ``body`` takes: with two, Spark passes the index as well
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -80,34 +76,3 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         to = max(at + 1, int(np.searchsorted(size, base + most, "right")))
         yield batch.slice(at, to - at)
         at = to
-
-
-def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Smallest reachable node of every node of ``edges`` (a, b): columns ``node``, ``root``.
-
-    Alternating large-star and small-star rounds; each round is an aggregation and a join on
-    the node, so no component is ever gathered in one task's memory, and the edge set never grows
-    beyond its first size. The edges of a star of any size are handled by partial aggregates.
-    """
-    both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now = cut(spark, both)
-    for _ in range(most_rounds):
-        twin = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = twin.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: the larger neighbours of a node move to its smallest one
-        large = twin.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        # small star: the smaller neighbours of a node, and itself, move to the smallest of them
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        after = cut(spark, small.where("a <> b").distinct())
-        same = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-        was = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-        done = same.collect() == was.collect()
-        now = after
-        if done:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -31,6 +31,8 @@ from . import common
 
 BUCKETS = 10_000
 TRUSTED = 20_000
+#: N-grams in the raw proportions that the trusted multinomial starts from, against chance in few documents.
+PRIOR = 300_000
 #: Nats an n-gram, on average, by which the raw corpus may be likelier than the trusted text.
 THRESHOLD = -0.06
 SPACE = r"[\x20\x09-\x0D]+"
@@ -73,9 +75,11 @@ def repeated_words(windows: Column, width: int = 8) -> Column:
 
 
 def multinomials(docs: DataFrame, labels: DataFrame) -> list[float]:
-    """log(p_trusted / p_raw) of each bucket, with one added to every count.
+    """log(p_trusted / p_raw) of each bucket.
 
-    Only the bucket counts, of which there are ``BUCKETS``, come to the driver.
+    The raw counts have one added to each. The trusted multinomial starts from ``PRIOR`` n-grams
+    in the raw proportions, so few trusted documents say little, and none say nothing. Only the
+    bucket counts, of which there are ``BUCKETS``, come to the driver.
     """
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     good = good.where("q = 1 and coalesce(t, 0) = 0 and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
@@ -85,13 +89,12 @@ def multinomials(docs: DataFrame, labels: DataFrame) -> list[float]:
     text = text.join(F.broadcast(good), "doc_id", "left")
     grams = common.let(hashes(words(F.col("text"))), lambda h: F.transform(F.concat(h, doubled(h, 1)), bucket))
     counts = text.select("trusted", F.explode(grams).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("good"))
-    raw, target = [1.0] * BUCKETS, [1.0] * BUCKETS
+    raw, target = [1.0] * BUCKETS, [0.0] * BUCKETS
     for b, r, g in counts.collect():
         raw[b] += r
         target[b] += g
-    if sum(target) == BUCKETS:
-        return [0.0] * BUCKETS
-    return [math.log(t / sum_t) - math.log(r / sum_r) for sum_t, sum_r in [(sum(target), sum(raw))] for t, r in zip(target, raw)]
+    p_raw, n = [r / sum_r for sum_r in [sum(raw)] for r in raw], sum(target)
+    return [math.log((t + PRIOR * p) / (n + PRIOR) / p) if n else 0.0 for t, p in zip(target, p_raw)]
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -96,6 +96,20 @@ def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return common.cut(spark, items.select("item", "item_words").mapInArrow(hashed, "item long, at long, hash long")), items
 
 
+def _probes() -> tuple[int, int]:
+    """Where the two keys of a hash in the map begin."""
+    return 64 - MAP_BITS, 64 - 2 * MAP_BITS
+
+
+def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the map has under both keys."""
+    at = np.arange(len(h))
+    for shift in _probes():
+        key = (h[at] >> np.uint64(shift)) & np.uint64((1 << MAP_BITS) - 1)
+        at = at[(bits[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+    return at
+
+
 def _bit_map(seeds: DataFrame) -> bytes:
     """Bits of all seeds' hashes. Made by tasks; one map of fixed size a task comes to the driver."""
     size = 1 << (MAP_BITS - 3)
@@ -103,7 +117,9 @@ def _bit_map(seeds: DataFrame) -> bytes:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << MAP_BITS, bool)
         for batch in batches:
-            bits[batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - MAP_BITS)] = True
+            h = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+            for shift in _probes():
+                bits[(h >> np.uint64(shift)) & np.uint64((1 << MAP_BITS) - 1)] = True
         yield pa.record_batch({"bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     out = np.zeros(size, np.uint8)
@@ -132,8 +148,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = []
                 for number, mask in _masks(short):
                     at, s = seed_hashes(h, counts, mask, number)
-                    key = s >> np.uint64(64 - MAP_BITS)
-                    hit = np.flatnonzero(bits[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1)
+                    hit = _in_map(bits, s)
                     found.append((at[hit], s[hit]))
                 at, s = (np.concatenate(x) for x in zip(*found))
                 if not len(at):

@@ -42,7 +42,7 @@ FORMATS = (
     ("jwt", re.compile(r"eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,}")),
 )
 _NAME = re.compile(r"([A-Za-z0-9_\-.]*(?:token|secret|passw|pwd|api_?-?key|apikey|access_?-?key|auth|credential|private_?-?key)[A-Za-z0-9_\-.]*)[\"']?\s*\Z", re.IGNORECASE)
-_VALUE = re.compile(r"[=:>]?\s*[\"'`]?([^\s\"'`,;]{6,512})")
+_VALUE = re.compile(r"[=:>]?\s{0,593}[\"'`]?([^\s\"'`,;]{6,})")
 _SIGN = re.compile(r"[=:]")
 _LONG = re.compile(r"(?<!\S)\S{16,}")
 _STRING = re.compile(r"[A-Za-z0-9+/_\-]{20,}={0,2}")
@@ -56,16 +56,20 @@ _TEST_PATH = re.compile(r"test|example|fixture|sample|mock|docs?/|\.md|\.lock",
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of candidates in ``text``, in order; overlapping ones are merged into the first."""
+    """(start, end, rule) of candidates in ``text``, in order; overlapping ones become their union, under the most telling rule."""
     found = []
     if "-----BEGIN" in text:
         found += [(*m.span(), "private_key") for m in _BLOCK.finditer(text)]
+    last = 0
     for m in _SIGN.finditer(text):
         at = m.start()
+        if at + 2 < last:  # inside a value: its own would end where that does
+            continue
         name = _NAME.search(text, max(0, at - 64), at)
         if name:
-            value = _VALUE.match(text, at + 1, at + 600)
+            value = _VALUE.match(text, at + 1)
             if value:
+                last = value.end(1)
                 found.append((*value.span(1), "assigned"))
     for m in _LONG.finditer(text):
         word = m.group()
@@ -81,6 +85,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for a, b, rule in sorted(found, key=lambda x: (x[0], rank.get(x[2], 0), -x[1])):
         if not out or a >= out[-1][1]:
             out.append((a, b, rule))
+        else:
+            start, end, first = out[-1]
+            out[-1] = (start, max(end, b), min(first, rule, key=lambda r: rank.get(r, 0)))
     return out
 
 
@@ -111,7 +118,7 @@ class Features:
 
     def coverage(self, s: str) -> float:
         """Share of the characters that dictionary words cover, longest first from the left."""
-        s, at, covered = s.lower()[:512], 0, 0
+        s, at, covered = s.lower(), 0, 0
         while at < len(s):
             n = next((n for n in range(min(14, len(s) - at), 3, -1) if s[at : at + n] in self.words), 0)
             covered, at = covered + n, at + max(n, 1)

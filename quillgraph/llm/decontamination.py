@@ -12,8 +12,8 @@ the scan; what passes carries its surrounding words along and meets the benchmar
 ordinary join. Hits of one passage form one region, so a passage costs one row however many seeds
 it hits.
 
-Defined cases: null and empty texts overlap with nothing; a benchmark text shorter than the
-shortest mask is compared by its full words, through masks cut to its length; repeated rows give
+Defined cases: null and empty texts overlap with nothing; a benchmark text of fewer than ``SHORT``
+words is compared as a whole, through masks made for its length; repeated rows give
 repeated results; a null ``doc_id`` is reported as null; a null ``item_id`` matches like any other;
 other columns are ignored; an empty table on either side gives no overlaps.
 """
@@ -32,6 +32,8 @@ from . import common
 #: Fixed masks: five words taken of at most eight.
 MASKS = ("11111", "1101011", "11001011", "10110011")
 LEAST_WORDS = 12
+#: Benchmark texts of fewer words have masks of their own.
+SHORT = 8
 IDENTITY = 0.8
 #: Words around the first and last hit that a region carries.
 MARGIN = 64
@@ -55,15 +57,28 @@ def seed_hashes(h: np.ndarray, counts: np.ndarray, mask: str, number: int) -> tu
     return at, mix(total)
 
 
-def _masks(short: bool) -> list[tuple[int, str]]:
-    """(number, mask); for short benchmark texts also runs of one to four words."""
-    return list(enumerate(MASKS)) + ([(10 + n, "1" * n) for n in range(1, len(min(MASKS, key=len)))] if short else [])
+def _whole(n: int) -> list[tuple[int, str]]:
+    """(number, mask) of the masks that stand only for benchmark texts of just ``n`` words.
+
+    Below five words IDENTITY allows no substituted word. Of five to seven it allows one, at a place
+    that one of three masks leaves out; from eight words on, MASKS hit whatever IDENTITY allows.
+    """
+    if n < len(min(MASKS, key=len)):
+        return [(10 + n, "1" * n)]
+    if n >= SHORT:
+        return []
+    cuts = [round(n * k / 3) for k in range(4)]
+    return [(20 + 3 * n + k, "".join("01"[not cuts[k] <= i < cuts[k + 1]] for i in range(n))) for k in range(3)]
+
+
+def _masks(lengths) -> list[tuple[int, str]]:
+    """(number, mask), with those for whole benchmark texts of ``lengths`` words."""
+    return list(enumerate(MASKS)) + [m for n in lengths for m in _whole(n)]
 
 
 def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(seeds: ``item``, ``at``, ``hash``; items: ``item``, ``item_id``, ``item_words``)."""
     spark = benchmark.sparkSession
-    shortest = min(map(len, MASKS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bytescan import words
@@ -83,10 +98,7 @@ def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
             out = [[], [], []]
             for item, w in zip(batch.column("item").to_pylist(), batch.column("item_words").to_pylist()):
                 h, n = np.array(w, np.int64).view(np.uint64), np.array([len(w)])
-                for number, mask in _masks(True):
-                    # runs shorter than the masks stand only for texts of just that length
-                    if len(mask) < shortest and len(w) != len(mask):
-                        continue
+                for number, mask in _masks([len(w)]):
                     at, s = seed_hashes(h, n, mask, number)
                     out[0] += [item] * len(at)
                     out[1] += at.tolist()
@@ -136,7 +148,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     seeds, items = benchmark_seeds(benchmark)
     seen = spark.sparkContext.broadcast(_bit_map(seeds))
-    short = bool(items.where(F.size("item_words") < min(map(len, MASKS))).take(1))
+    short = sorted(r[0] for r in items.select(F.size("item_words")).where(F.size("item_words") < SHORT).distinct().collect())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bytescan import words

@@ -35,6 +35,8 @@ LEAST_WORDS = 12
 #: Benchmark texts of fewer words have masks of their own.
 SHORT = 8
 IDENTITY = 0.8
+#: Column of the rows' numbers in ``clean``.
+ROW = "_row"
 #: Words around the first and last hit that a region carries.
 MARGIN = 64
 #: Bits of the map that the scan looks up, whatever the size of the benchmark: 2 MB.
@@ -227,6 +229,11 @@ def aligned(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that overlap with the benchmark."""
-    found = common.settle(docs.sparkSession, overlaps(docs, benchmark).select("doc_id").distinct())
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows of ``docs`` without those that overlap with the benchmark.
+
+    Each row is judged by its own text, also where rows have no ``doc_id`` or repeat one.
+    """
+    spark = docs.sparkSession
+    rows = common.settle(spark, docs.withColumn(ROW, F.monotonically_increasing_id()))  # written, so the numbers stay
+    found = overlaps(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(common.settle(spark, found), ROW, "left_anti").select(*docs.columns)

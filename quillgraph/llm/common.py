@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from ..runtime import components
 
-__all__ = ["components", "cut", "filesystem", "fresh_dir", "let", "pieces", "settle", "shared_dir", "table"]
+__all__ = ["components", "cut", "filesystem", "freed", "fresh_dir", "let", "pieces", "settle", "shared_dir", "table"]
 
 #: Rows of an Arrow batch that Spark hands to Python; long texts make the default of 10,000 too many.
 BATCH_ROWS = 1000
@@ -65,8 +65,28 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda x: body(x))[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose ``column`` holds about ``most`` bytes; one row may be longer."""
+def freed(scan):
+    """``scan`` (batches to batches) that gives unused memory back to the system when it ends.
+
+    Spark keeps Python workers for later tasks; without this they keep their highest size as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose ``column`` holds at most ``most`` bytes, or one row."""
     import numpy as np
 
     size = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype("f8")))

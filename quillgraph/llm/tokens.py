@@ -13,10 +13,10 @@ import os
 import re
 import sys
 from array import array
-from itertools import islice
 
-#: Units that a worker process keeps.
-UNITS = 1_000_000
+#: Memory of the units that a worker process keeps, by an estimate of ``ENTRY`` bytes a unit beside its letters and ids.
+CACHE_BYTES = 128 << 20
+ENTRY = 200
 
 #: White space to the tokenizers' patterns; Python's own class also has \x1c-\x1f.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -54,14 +54,16 @@ def _byte_names() -> dict[int, str]:
 class Encoder:
     """``ids`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, file: str, units, lower: bool):
+    def __init__(self, file: str, units, lower: bool, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        # the strings of special tokens are ordinary text in a corpus
+        self.marks = {t.content: array("I", [i]).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()} if special else {}
+        self.at_marks = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")") if self.marks else None
+        # what is left between the marks is ordinary text
         self.tokenizer.encode_special_tokens = True
-        self.units, self.lower, self.cache = units, lower, {}
+        self.units, self.lower, self.cache, self.room = units, lower, {}, CACHE_BYTES
         self.pieces: dict[str, bytes] = {}
         self.names = str.maketrans({chr(b): c for b, c in _byte_names().items()})
 
@@ -99,11 +101,22 @@ class Encoder:
             part = rest[a : a + 4096]
             for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 new[u] = array("I", e.ids).tobytes()
-        room = UNITS - len(self.cache)
-        self.cache.update(new if len(new) <= room else dict(islice(new.items(), max(room, 0))))
+        for u, x in new.items() if self.room > 0 else ():
+            size = ENTRY + len(u) + len(x)
+            if size <= 2 * ENTRY:
+                self.cache[u] = x
+                self.room -= size
         return new
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        out = self._ordinary(texts if not self.marks else [x if x and not any(m in x for m in self.marks) else None for x in texts])
+        for k, text in enumerate(texts) if self.marks else ():
+            if text and any(m in text for m in self.marks):
+                parts = self.at_marks.split(text)  # ordinary text and marks by turns
+                out[k] = b"".join(self.marks[x] if i % 2 else self._ordinary([x])[0] for i, x in enumerate(parts))
+        return out
+
+    def _ordinary(self, texts: list[str | None]) -> list[bytes]:
         get, units_of = self.cache.get, self.units
         out: list[list[bytes | None]] = []
         gaps: list[tuple[int, list[tuple[int, str]]]] = []
@@ -123,9 +136,9 @@ class Encoder:
         return list(map(b"".join, out))
 
 
-def encoder(name: str, folder: str | None = None) -> Encoder:
+def encoder(name: str, folder: str | None = None, special: bool = True) -> Encoder:
     """The encoder of a public tokenizer's file, one a worker process. ``folder``: where the files lie."""
-    key = f"{folder}/{name}"
+    key = f"{folder}/{name}/{special}"
     if key not in _made:
         if folder:
             file = os.path.join(folder, name)
@@ -134,5 +147,5 @@ def encoder(name: str, folder: str | None = None) -> Encoder:
 
             file = public_tokenizers.path(name)
         word = name.startswith("word_")
-        _made[key] = Encoder(file, _word_units if word else _space_units, word)
+        _made[key] = Encoder(file, _word_units if word else _space_units, word, special)
     return _made[key]

@@ -6,11 +6,12 @@ texts under all masks are joined with those of the corpus. Around each hit the c
 words are aligned, and an overlap is accepted if at least ``LEAST_WORDS`` aligned words (or the whole
 of a shorter benchmark text) agree in at least ``IDENTITY`` of their places.
 
-Words are compared in lower case and without ASCII punctuation. The corpus has one hash a word and mask, far too many to shuffle. A bit map of fixed size over the
-benchmark's hashes, the only thing that is broadcast, lets through the hits and a few others in
-the scan; what passes carries its surrounding words along and meets the benchmark's table in an
-ordinary join. Hits of one passage form one region, so a passage costs one row however many seeds
-it hits.
+Words are compared in lower case and without ASCII punctuation. The corpus has one hash a word and
+mask, far too many to shuffle. A bit map over the benchmark's hashes, of a size that follows their
+number up to a bound, lets through the hits and a few others in the scan; what passes meets the
+benchmark's table in an ordinary join. Hits of one passage form one region, a row however many
+seeds it hits, with as many words on both sides as the longest benchmark text has: all that can be
+aligned with it. Of a region, each benchmark text is sent the words that its diagonals meet.
 
 Defined cases: null and empty texts overlap with nothing; a benchmark text of fewer than ``SHORT``
 words is compared as a whole, through masks made for its length; repeated rows give
@@ -37,10 +38,8 @@ SHORT = 8
 IDENTITY = 0.8
 #: Column of the rows' numbers in ``clean``.
 ROW = "_row"
-#: Words around the first and last hit that a region carries.
-MARGIN = 64
-#: Bits of the map that the scan looks up, whatever the size of the benchmark: 2 MB.
-MAP_BITS = 24
+#: Least and most bits, as powers of two, of the map that the scan looks up: at most 32 MB are broadcast.
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 def seed_hashes(h: np.ndarray, counts: np.ndarray, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +59,7 @@ def seed_hashes(h: np.ndarray, counts: np.ndarray, mask: str, number: int) -> tu
 
 
 def _whole(n: int) -> list[tuple[int, str]]:
-    """(number, mask) of the masks that stand only for benchmark texts of just ``n`` words.
+    """(number, mask) of the masks of benchmark texts of just ``n`` words, if they have masks of their own.
 
     Below five words IDENTITY allows no substituted word. Of five to seven it allows one, at a place
     that one of three masks leaves out; from eight words on, MASKS hit whatever IDENTITY allows.
@@ -74,8 +73,8 @@ def _whole(n: int) -> list[tuple[int, str]]:
 
 
 def _masks(lengths) -> list[tuple[int, str]]:
-    """(number, mask), with those for whole benchmark texts of ``lengths`` words."""
-    return list(enumerate(MASKS)) + [m for n in lengths for m in _whole(n)]
+    """(number, mask) of all masks of benchmark texts of ``lengths`` words."""
+    return [m for n in lengths for m in _whole(n) or enumerate(MASKS)]
 
 
 def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,121 +87,153 @@ def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for part in common.pieces(batch, "text"):
                 h, counts = words(part.column("text"), plain=True)
-                ends = np.cumsum(counts)
-                out = [h[e - c : e].view(np.int64) for e, c in zip(ends, counts)]
-                yield pa.record_batch({"item": part.column("item"), "item_id": part.column("item_id"), "item_words": pa.array(out, pa.list_(pa.int64()))})
+                yield pa.record_batch({"item": part.column("item"), "item_id": part.column("item_id"), "item_words": _lists(h, counts)})
 
     named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).withColumn("item", F.monotonically_increasing_id())
-    items = common.cut(spark, named.mapInArrow(scan, "item long, item_id long, item_words array<long>").where("size(item_words) > 0"))
+    items = common.cut(spark, named.mapInArrow(common.freed(scan), "item long, item_id long, item_words array<long>").where("size(item_words) > 0"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], []]
-            for item, w in zip(batch.column("item").to_pylist(), batch.column("item_words").to_pylist()):
-                h, n = np.array(w, np.int64).view(np.uint64), np.array([len(w)])
-                for number, mask in _masks([len(w)]):
-                    at, s = seed_hashes(h, n, mask, number)
-                    out[0] += [item] * len(at)
-                    out[1] += at.tolist()
-                    out[2] += s.view(np.int64).tolist()
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["item", "at", "hash"])
+            for k, item in enumerate(batch.column("item").to_pylist()):
+                h = _words(batch.column("item_words"), k).view(np.uint64)
+                for number, mask in _masks([len(h)]):
+                    at, s = seed_hashes(h, np.array([len(h)]), mask, number)
+                    yield pa.record_batch({"item": pa.array(np.full(len(at), item)), "at": at, "hash": s.view(np.int64)})
 
     return common.cut(spark, items.select("item", "item_words").mapInArrow(hashed, "item long, at long, hash long")), items
 
 
-def _probes() -> tuple[int, int]:
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A list array of ``values`` in rows of ``counts``."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values.view(np.int64), pa.int64()))
+
+
+def _words(lists: pa.Array, row: int) -> np.ndarray:
+    """The values of one row of a list array, without a copy."""
+    return lists[row].values.to_numpy(zero_copy_only=False)
+
+
+def map_bits(seeds: int) -> int:
+    """Size of the map, as a power of two, for a number of seeds: 16 bits a seed, within the bounds."""
+    return min(max((16 * max(seeds, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def _probes(bits: int) -> tuple[int, int]:
     """Where the two keys of a hash in the map begin."""
-    return 64 - MAP_BITS, 64 - 2 * MAP_BITS
+    return 64 - bits, 64 - 2 * bits
 
 
-def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _in_map(seen: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     """Places of the hashes that the map has under both keys."""
     at = np.arange(len(h))
-    for shift in _probes():
-        key = (h[at] >> np.uint64(shift)) & np.uint64((1 << MAP_BITS) - 1)
-        at = at[(bits[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+    for shift in _probes(bits):
+        key = (h[at] >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        at = at[(seen[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
     return at
 
 
-def _bit_map(seeds: DataFrame) -> bytes:
-    """Bits of all seeds' hashes. Made by tasks; one map of fixed size a task comes to the driver."""
-    size = 1 << (MAP_BITS - 3)
+def _bit_map(seeds: DataFrame, bits: int) -> bytes:
+    """Bits of all seeds' hashes. Made by tasks; one map of bounded size a task comes to the driver."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MAP_BITS, bool)
+        out = np.zeros(1 << bits, bool)
         for batch in batches:
             h = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
-            for shift in _probes():
-                bits[(h >> np.uint64(shift)) & np.uint64((1 << MAP_BITS) - 1)] = True
-        yield pa.record_batch({"bits": [np.packbits(bits, bitorder="little").tobytes()]})
+            for shift in _probes(bits):
+                out[(h >> np.uint64(shift)) & np.uint64((1 << bits) - 1)] = True
+        yield pa.record_batch({"bits": [np.packbits(out, bitorder="little").tobytes()]})
 
-    out = np.zeros(size, np.uint8)
-    for (bits,) in seeds.select("hash").repartition(min(4, max(1, seeds.sparkSession.sparkContext.defaultParallelism))).mapInArrow(mapped, "bits binary").toLocalIterator():
-        out |= np.frombuffer(bits, np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for (part,) in seeds.select("hash").repartition(min(4, max(1, seeds.sparkSession.sparkContext.defaultParallelism))).mapInArrow(common.freed(mapped), "bits binary").toLocalIterator():
+        out |= np.frombuffer(part, np.uint8)
     return out.tobytes()
 
 
+_REGION = "doc_id long, start long, doc_words array<long>, places array<long>, hashes array<long>"
+
+
+def _regions(h: np.ndarray, counts: np.ndarray, at: np.ndarray, s: np.ndarray, before: int, behind: int):
+    """(rows, starts in the rows, words, places, hashes) of the stretches around hits ``at``.
+
+    A stretch begins ``before`` words ahead of its first hit and ends ``behind`` words after the
+    beginning of its last one, or where the row does; hits whose stretches would meet share one.
+    """
+    order = np.argsort(at, kind="stable")
+    at, s = at[order], s[order]
+    ends = np.cumsum(counts)
+    row = np.searchsorted(ends, at, "right")
+    cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(at) > before + behind)) + 1
+    first, last = np.append(0, cut), np.append(cut, len(at))
+    r = row[first]
+    base = (ends - counts)[r]
+    low, high = np.maximum(at[first] - before, base), np.minimum(at[last - 1] + behind, ends[r])
+    size = high - low
+    words = h[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    return r, low - base, _lists(words, size), _lists(at - np.repeat(low, last - first), last - first), _lists(s, last - first)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``doc_start``, ``item_start``, ``n_words``, ``n_equal`` of accepted overlaps.
 
-    Starts are word numbers; one row for each pair and diagonal, the longest accepted overlap on it.
+    Starts are word numbers; one row for each pair and diagonal, the longest accepted overlap on it (of
+    equally long ones the last).
     """
     spark = docs.sparkSession
     seeds, items = benchmark_seeds(benchmark)
-    seen = spark.sparkContext.broadcast(_bit_map(seeds))
-    short = sorted(r[0] for r in items.select(F.size("item_words")).where(F.size("item_words") < SHORT).distinct().collect())
+    bits = map_bits(seeds.count())
+    seen = spark.sparkContext.broadcast(_bit_map(seeds, bits))  # 2^MOST_BITS bits at most
+    sizes = items.select(F.size("item_words").alias("n"))
+    short = sorted(r[0] for r in sizes.where(F.col("n") < SHORT).distinct().collect())
+    longest = sizes.agg(F.max("n")).first()[0] or 0
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bytescan import words
 
-        bits = np.frombuffer(seen.value, np.uint8)
+        known = np.frombuffer(seen.value, np.uint8)
+
+        def hits(h, counts, masks):
+            found = []
+            for number, mask in masks:
+                at, s = seed_hashes(h, counts, mask, number)
+                hit = _in_map(known, bits, s)
+                found.append((at[hit], s[hit]))
+            return (np.concatenate(x) for x in zip(*found))
+
         for batch in batches:
             for part in common.pieces(batch, "text"):
                 h, counts = words(part.column("text"), plain=True)
-                found = []
-                for number, mask in _masks(short):
-                    at, s = seed_hashes(h, counts, mask, number)
-                    hit = _in_map(bits, s)
-                    found.append((at[hit], s[hit]))
-                at, s = (np.concatenate(x) for x in zip(*found))
-                if not len(at):
-                    continue
-                order = np.argsort(at, kind="stable")
-                at, s = at[order], s[order]
-                ends = np.cumsum(counts)
-                row = np.searchsorted(ends, at, "right")
-                # a region ends where the row does or where no hit follows within the margin
-                cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(at) > MARGIN)) + 1
-                firsts, lasts = np.append(0, cut), np.append(cut, len(at))
-                ids, out = part.column("doc_id"), []
-                for a, b in zip(firsts.tolist(), lasts.tolist()):
-                    r = int(row[a])
-                    low, base = max(int(at[a]) - MARGIN, int(ends[r] - counts[r])), int(ends[r] - counts[r])
-                    high = min(int(at[b - 1]) + MARGIN, int(ends[r]))
-                    out.append((ids[r].as_py(), low - base, h[low:high].view(np.int64), at[a:b] - low, s[a:b].view(np.int64)))
-                doc, start, text, places, hashes = zip(*out)
-                many = pa.list_(pa.int64())
-                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(text, many), pa.array(places, many), pa.array(hashes, many)], names=["doc_id", "start", "doc_words", "places", "hashes"])
+                # a diagonal through a hit lies within the longest item's words on both sides, a whole short item's at the hit
+                for masks, before, behind in [(enumerate(MASKS), longest, longest), *[(_whole(n), 0, n) for n in short]]:
+                    at, hashes = hits(h, counts, masks)
+                    if len(at):
+                        r, *columns = _regions(h, counts, at, hashes, before, behind)
+                        yield pa.record_batch([part.column("doc_id").take(pa.array(r)), *columns], names=["doc_id", "start", "doc_words", "places", "hashes"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    regions = text.mapInArrow(scan, "doc_id long, start long, doc_words array<long>, places array<long>, hashes array<long>")
-    regions = common.cut(spark, regions.withColumn("region", F.monotonically_increasing_id()))
-    hits = regions.select("region", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("region", F.col("x.places").alias("place"), F.col("x.hashes").alias("hash"))
-    lines = hits.join(seeds, "hash").select("region", "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
-    pairs = lines.join(regions.select("region", "doc_id", "start", "doc_words"), "region").join(items, "item")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                found = aligned(np.array(row["doc_words"]), np.array(row["item_words"]), row["diagonal"])
+    regions = common.cut(spark, text.mapInArrow(common.freed(scan), _REGION).withColumn("region", F.monotonically_increasing_id()))
+    hits_of = regions.select("region", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("region", F.col("x.places").alias("place"), F.col("x.hashes").alias("hash"))
+    lines = hits_of.join(seeds, "hash").groupBy("region", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))
+    pairs = lines.join(items, "item").join(regions.select("region", "doc_id", "start", "doc_words"), "region")
+    # of a region, the words that these diagonals meet
+    low = F.greatest(F.array_min("diagonals"), F.lit(0))
+    pairs = pairs.withColumn("low", low).withColumn("doc_words", F.slice("doc_words", low.cast("int") + 1, (F.array_max("diagonals") + F.size("item_words") - low).cast("int")))
+    return pairs.select("doc_id", "item_id", "start", "low", "diagonals", "doc_words", "item_words").mapInArrow(common.freed(_verify), "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long")
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"]
+    for batch in batches:
+        out = []
+        ids, others, starts, lows = (batch.column(k).to_pylist() for k in range(4))
+        for k in range(batch.num_rows):
+            doc, item = _words(batch.column("doc_words"), k), _words(batch.column("item_words"), k)
+            for diagonal in np.sort(_words(batch.column("diagonals"), k)).tolist():
+                found = aligned(doc, item, diagonal - lows[k])
                 if found:
                     a, n, equal = found
-                    out.append((row["doc_id"], row["item_id"], row["start"] + a, a - row["diagonal"], n, equal))
-            cols = zip(*out) if out else [[]] * 6
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in cols], names=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"])
-
-    return pairs.select("doc_id", "item_id", "start", "doc_words", "item_words", "diagonal").mapInArrow(verify, "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long")
+                    out.append((ids[k], others[k], starts[k] + lows[k] + a, a + lows[k] - diagonal, n, equal))
+        cols = zip(*out) if out else [[]] * 6
+        yield pa.record_batch([pa.array(x, pa.int64()) for x in cols], names=names)
 
 
 def aligned(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:

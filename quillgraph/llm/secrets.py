@@ -10,8 +10,8 @@ seeded sample of ``FINDINGS`` contexts of both labels built from public formats;
 of one's own can be passed instead. The fit is a bounded labelled sample; the scan covers all texts.
 
 Defined cases: null and empty texts have no findings; repeated rows give repeated findings; a null
-``doc_id`` is reported as null; a null path is an empty path; other columns are ignored by ``scan``
-and kept by ``redact``; an empty table gives no findings.
+``doc_id`` is reported as null; a null path, or a table without one, is an empty path; other columns
+are ignored by ``scan`` and kept by ``redact``; an empty table gives no findings.
 """
 
 from __future__ import annotations
@@ -41,12 +41,14 @@ FORMATS = (
     ("stripe_key", re.compile(r"[rs]k_live_[0-9A-Za-z]{16,}")),
     ("jwt", re.compile(r"eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,}")),
 )
-_NAME = re.compile(r"([A-Za-z0-9_\-.]*(?:token|secret|passw|pwd|api_?-?key|apikey|access_?-?key|auth|credential|private_?-?key)[A-Za-z0-9_\-.]*)[\"']?\s*\Z", re.IGNORECASE)
-_VALUE = re.compile(r"[=:>]?\s{0,593}[\"'`]?([^\s\"'`,;]{6,})")
+_NAME = re.compile(r"token|secret|passw|pwd|api_?-?key|apikey|access_?-?key|auth|credential|private_?-?key", re.IGNORECASE)
+#: A name that ends a text, read backwards: white space, a quote, letters of names.
+_NAME_BACK = re.compile(r"\s*[\"']?([A-Za-z0-9_\-.]+)")
+_VALUE = re.compile(r"[=:>]?\s*[\"'`]?([^\s\"'`,;]{6,})")
 _SIGN = re.compile(r"[=:]")
 _LONG = re.compile(r"(?<!\S)\S{16,}")
 _STRING = re.compile(r"[A-Za-z0-9+/_\-]{20,}={0,2}")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
+_BLOCK_EDGE = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
 _WORD = re.compile(r"[a-z]+")
 _AROUND = 48
 #: Neighbouring words that speak for a look-alike, and for a secret.
@@ -57,16 +59,15 @@ _TEST_PATH = re.compile(r"test|example|fixture|sample|mock|docs?/|\.md|\.lock",
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, rule) of candidates in ``text``, in order; overlapping ones become their union, under the most telling rule."""
-    found = []
-    if "-----BEGIN" in text:
-        found += [(*m.span(), "private_key") for m in _BLOCK.finditer(text)]
-    last = 0
+    found = [(a, b, "private_key") for a, b in _blocks(text)] if "-----BEGIN" in text else []
+    last = before = 0  # ends of the value and the sign met last
     for m in _SIGN.finditer(text):
-        at = m.start()
+        at, since, before = m.start(), before, m.end()
         if at + 2 < last:  # inside a value: its own would end where that does
             continue
-        name = _NAME.search(text, max(0, at - 64), at)
-        if name:
+        # a name holds no sign, so no character is read for two signs
+        name = _NAME_BACK.match(text[since:at][::-1])
+        if name and _NAME.search(name.group(1)[::-1]):
             value = _VALUE.match(text, at + 1)
             if value:
                 last = value.end(1)
@@ -91,6 +92,18 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) from each first line of a private key to the next last line."""
+    out, start = [], None
+    for m in _BLOCK_EDGE.finditer(text):
+        if m.group(1) == "BEGIN":
+            start = m.start() if start is None else start
+        elif start is not None:
+            out.append((start, m.end()))
+            start = None
+    return out
+
+
 def entropy(s: str) -> float:
     n = len(s)
     return -sum(k / n * math.log2(k / n) for k in map(s.count, set(s)))
@@ -261,37 +274,51 @@ def judged(text: str, path: str, model: forest.Forest, pieces: str | None = None
     return [(*c, float(s)) for c, s in zip(found, scores)]
 
 
+def _paths(docs: DataFrame, path: str):
+    return F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
+
+
 def scan(docs: DataFrame, path: str = "source", model: forest.Forest | None = None, pieces: str | None = None) -> DataFrame:
     """Every candidate: ``doc_id``, ``start``, ``length``, ``rule``, ``value_sha256``, ``score``, ``secret``."""
+    common.shared_dir(docs.sparkSession)
     model = model or fit(pieces=pieces)
+    names = ["doc_id", "start", "length", "rule", "value_sha256", "score", "secret"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text, where in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "path"))):
-                for a, b, rule, score in judged(text or "", where or "", model, pieces):
-                    out.append((doc, a, b - a, rule, hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest(), score, score >= VERDICT))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_())
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=["doc_id", "start", "length", "rule", "value_sha256", "score", "secret"])
+            for part in common.pieces(batch, "text"):
+                out = []
+                for doc, text, where in zip(*(part.column(x).to_pylist() for x in ("doc_id", "text", "path"))):
+                    for a, b, rule, score in judged(text or "", where or "", model, pieces):
+                        out.append((doc, a, b - a, rule, hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest(), score, score >= VERDICT))
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(path).cast("string").alias("path"))
-    return rows.mapInArrow(find, "doc_id long, start long, length long, rule string, value_sha256 string, score double, secret boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _paths(docs, path).alias("path"))
+    return rows.mapInArrow(common.freed(find), "doc_id long, start long, length long, rule string, value_sha256 string, score double, secret boolean")
 
 
 def redact(docs: DataFrame, path: str = "source", model: forest.Forest | None = None, pieces: str | None = None) -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by ``REDACTED``; a null text stays null."""
+    common.shared_dir(docs.sparkSession)
     model = model or fit(pieces=pieces)
 
     def clean(text: str | None, where: str | None) -> str | None:
-        for a, b, _, score in reversed(judged(text, where or "", model, pieces)) if text else ():
+        if not text:
+            return text
+        out, at = [], 0
+        for a, b, _, score in judged(text, where or "", model, pieces):
             if score >= VERDICT:
-                text = text[:a] + REDACTED + text[b:]
-        return text
+                out += [text[at:a], REDACTED]
+                at = b
+        return "".join([*out, text[at:]]) if out else text
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [clean(t, p) for t, p in zip(batch.column("text").to_pylist(), batch.column(path).to_pylist())]
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+            for part in common.pieces(batch, "text"):
+                where = part.column(path).cast(pa.string()).to_pylist() if path in part.schema.names else [None] * part.num_rows
+                out = [clean(t, p) for t, p in zip(part.column("text").to_pylist(), where)]
+                at = part.schema.get_field_index("text")
+                yield part.set_column(at, part.schema.field(at), pa.array(out, part.schema.field(at).type))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return docs.mapInArrow(common.freed(apply), docs.schema)

@@ -106,7 +106,7 @@ def near_links(fps: DataFrame, radius: int, segments: int) -> DataFrame:
 def links(fps: DataFrame, radius: int = 4, segments: int = 3, group: str | None = None) -> DataFrame:
     """All pairs (a, b) of different rows of ``fps`` (fp) at most ``radius`` bits apart.
 
-    With ``group``, pairs of the same value in that column (known to be connected) are left out.
+    With ``group``, pairs of that column's values instead, those of different rows that are connected.
     """
     keep = "bit_count(a ^ b) <= {r} and a <> b".format(r=radius) + (" and ga <> gb" if group else "")
     left = [F.col("fp").alias("a")] + ([F.col(group).alias("ga")] if group else [])
@@ -119,7 +119,8 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 3, group: str | None
         probe, table = (p, t) if probe is None else (probe.union(p), table.union(t))
     x, y = probe.alias("x"), table.alias("y")
     out = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & F.expr(keep))
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = ("ga", "gb") if group else ("a", "b")
+    return out.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, segments: int = 3, words: int = 4) -> DataFrame:
@@ -130,10 +131,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4, segments: int = 3, words:
     first = common.cut(spark, near_links(fps.select("fp"), radius, segments).distinct())
     dense = common.components(spark, first)
     grouped = fps.select("fp").join(dense, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("g"))
-    rest = links(common.cut(spark, grouped), radius, segments, "g")
-    nodes = common.components(spark, first.union(rest))
-    named = fps.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = common.cut(spark, named)
+    grouped = common.cut(spark, grouped)
+    # the components found first are the nodes of the second run
+    over = common.components(spark, links(grouped, radius, segments, "g"))
+    named = grouped.join(over, F.col("g") == F.col("node"), "left").select("fp", F.coalesce("root", "g").alias("root"))
+    named = common.cut(spark, named.join(fps, "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = named.join(least, "root").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

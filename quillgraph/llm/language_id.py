@@ -5,10 +5,10 @@ is the sum over all its segmentations into pieces of the product of their probab
 the forward algorithm; a text's is the product over its words. Piece probabilities are fitted by
 expectation maximisation with the forward-backward algorithm.
 
-Words are runs of letters, in lower case, behind a word mark; runs of more than ``LONGEST`` letters
-are scored in parts of that many, so no letter is left out. Letters that are no piece stand for
-one unknown piece. The words of a batch that a worker has not met are scored together by array
-operations; their scores are kept for the following batches, up to ``KEPT`` words.
+Words are runs of letters (Unicode's category L) of any length, in lower case, behind a word mark.
+Letters that are no piece stand for one unknown piece. The words of a batch that a worker has not
+met are scored together by array operations; their scores are kept for the following batches, up
+to ``KEPT_BYTES``.
 
 The piece probabilities are fitted on a bounded sample: ``SAMPLE`` documents of each language, those
 of least id hash among the training part. The prior of a language counts its whole training part.
@@ -33,12 +33,11 @@ from . import common
 
 SAMPLE = 500
 ROUNDS = 3
-LONGEST = 40
-KEPT = 400_000
+KEPT_BYTES = 64 << 20
 SMOOTHING = 0.05
-#: Scales probabilities by letter, against underflow.
-_SCALE = 40.0
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters between two scalings of the forward sums, against underflow.
+_SCALED = 8
+_RUNS = re.compile(r"[^\W\d_]+")
 _PRIME = 0x9E3779B97F4A7C15
 
 
@@ -47,10 +46,11 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 
 
 def text_words(text: str) -> list[str]:
-    out = _LETTERS.findall(text.lower())
-    if any(len(x) > LONGEST for x in out):
-        out = [x[a : a + LONGEST] for x in out for a in range(0, len(x), LONGEST)]
-    return out
+    """Runs of letters; ``[^\\W\\d_]`` has other numerals beside them, such as ``²`` and ``Ⅷ``."""
+    out = _RUNS.findall(text.lower())
+    if all(map(str.isalpha, out)):
+        return out
+    return [w for x in out for w in ("".join(c if c.isalpha() else " " for c in x).split() if not x.isalpha() else [x])]
 
 
 def _string_hash(s: str) -> int:
@@ -101,55 +101,81 @@ def vocabulary(path: str | None) -> Vocabulary:
     return _vocabularies[path]
 
 
-def _lattices(words: list[str], vocab: Vocabulary):
-    """Per word length: (places of the words, [(start, end, words that have a piece there, pieces)])."""
+class _Lattice:
+    """Words of one length, and the pieces that begin at each of their places."""
+
+    def __init__(self, words: list[str], vocab: Vocabulary):
+        self.vocab, self.many, self.length = vocab, len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(self.many, self.length)
+        self.codes = np.ascontiguousarray(codes.T).astype(np.uint64) + np.uint64(1)
+
+    def pieces(self, start: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(end, words that have a piece from ``start`` to there, the pieces)."""
+        alive, running = np.arange(self.many), np.zeros(self.many, np.uint64)
+        for end in range(start + 1, min(start + self.vocab.longest, self.length) + 1):
+            running = running * np.uint64(_PRIME) + self.codes[end - 1][alive]
+            there, piece = self.vocab.find(running)
+            # a single letter always stands, as the unknown piece if need be
+            yield (end, alive, piece) if end == start + 1 else (end, alive[piece > 0], piece[piece > 0])
+            alive, running = alive[there], running[there]
+            if not len(alive):
+                return
+
+
+def _lattices(words: list[str], vocab: Vocabulary) -> Iterator[tuple[np.ndarray, _Lattice]]:
+    """(places of the words, their lattice) of each length."""
     marked = ["▁" + w for w in words]
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(marked):
         by_length.setdefault(len(w), []).append(i)
-    for n, at in by_length.items():
-        codes = np.frombuffer("".join(marked[i] for i in at).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(at), n)
-        spans = []
-        codes = np.ascontiguousarray(codes.T).astype(np.uint64) + np.uint64(1)
-        for start in range(n):
-            alive, running = np.arange(len(at)), np.zeros(len(at), np.uint64)
-            for end in range(start + 1, min(start + vocab.longest, n) + 1):
-                running = running * np.uint64(_PRIME) + codes[end - 1][alive]
-                there, piece = vocab.find(running)
-                # a single letter always stands, as the unknown piece if need be
-                spans.append((start, end, alive, piece) if end == start + 1 else (start, end, alive[piece > 0], piece[piece > 0]))
-                alive, running = alive[there], running[there]
-                if not len(alive):
-                    break
-        yield np.array(at), n, spans
+    for at in by_length.values():
+        yield np.array(at), _Lattice([marked[i] for i in at], vocab)
 
 
 def word_scores(words: list[str], vocab: Vocabulary, probabilities: np.ndarray) -> np.ndarray:
     """log P(word) for each word and language; ``probabilities``: pieces x languages."""
     out = np.zeros((len(words), probabilities.shape[1]))
-    for at, n, spans in _lattices(words, vocab):
-        alpha = np.zeros((n + 1, len(at), probabilities.shape[1]))
+    for at, lattice in _lattices(words, vocab):
+        n, ring = lattice.length, vocab.longest + 1
+        # sums up to a place lie in a ring: none is needed beyond the longest piece
+        alpha, scale = np.zeros((ring, len(at), probabilities.shape[1])), np.zeros((len(at), probabilities.shape[1]))
         alpha[0] = 1.0
-        for start, end, has, piece in spans:
-            alpha[end][has] += alpha[start][has] * probabilities[piece] * _SCALE ** (end - start)
-        out[at] = np.log(alpha[n]) - n * math.log(_SCALE)
+        for start in range(n):
+            now = alpha[start % ring]
+            if start and start % _SCALED == 0:
+                scale += np.log(now)
+                alpha /= now.copy()
+                now = alpha[start % ring]
+            for end, has, piece in lattice.pieces(start):
+                alpha[end % ring][has] += now[has] * probabilities[piece]
+            now[:] = 0.0
+        out[at] = np.log(alpha[n % ring]) + scale
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, vocab: Vocabulary, probabilities: np.ndarray) -> np.ndarray:
     """Expected number of each piece in ``counts`` (one a word) copies of the words of one language."""
     out = np.zeros(vocab.size)
-    for at, n, spans in _lattices(words, vocab):
-        alpha, beta = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
+    for at, lattice in _lattices(words, vocab):
+        n = lattice.length
+        alpha, beta, scale = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at))), np.ones((n + 1, len(at)))
         alpha[0], beta[n] = 1.0, 1.0
-        weights = [probabilities[piece] * _SCALE ** (end - start) for start, end, _, piece in spans]
-        for (start, end, has, _), p in zip(spans, weights):
-            alpha[end][has] += alpha[start][has] * p
-        for (start, end, has, _), p in zip(reversed(spans), reversed(weights)):
-            beta[start][has] += p * beta[end][has]
+        for start in range(n):
+            if start and start % _SCALED == 0:
+                scale[start] = alpha[start]  # divides the sums from here on
+                alpha[start : start + vocab.longest] /= scale[start]
+            for end, has, piece in lattice.pieces(start):
+                alpha[end][has] += alpha[start][has] * probabilities[piece]
         share = counts[at] / alpha[n]
-        for (start, end, has, piece), p in zip(spans, weights):
-            out += np.bincount(piece, alpha[start][has] * p * beta[end][has] * share[has], minlength=vocab.size)
+        for start in range(n - 1, -1, -1):
+            for end, has, piece in lattice.pieces(start):
+                # what lies between two scalings is divided once more, as the sums up to its end are
+                next_scaled = (start // _SCALED + 1) * _SCALED
+                p = probabilities[piece] * beta[end][has]
+                for k in range(next_scaled, min(end, n - 1) + 1, _SCALED):
+                    p = p / scale[k][has]
+                beta[start][has] += p
+                out += np.bincount(piece, alpha[start][has] * p * share[has], minlength=vocab.size)
     return out
 
 
@@ -206,15 +232,18 @@ class Scorer:
     def __init__(self, langs: list[str], p: np.ndarray, prior: np.ndarray, pieces: str | None):
         self.langs, self.p, self.prior, self.vocab = langs, p, prior, vocabulary(pieces)
         self.place: dict[str, int] = {}
+        self.bytes = 0
         self.known = np.zeros((1024, len(langs)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         cut = [text_words(x) if x else [] for x in texts]
         place = self.place
         new = {w for words in cut for w in words if w not in place}
-        if len(place) + len(new) > KEPT:  # start over with the words at hand
+        self.bytes += sum(map(len, new)) + (200 + 8 * len(self.langs)) * len(new)
+        if self.bytes > KEPT_BYTES:  # start over with the words at hand
             place.clear()
             new = {w for words in cut for w in words}
+            self.bytes = sum(map(len, new)) + (200 + 8 * len(self.langs)) * len(new)
         if new:
             names, base = list(new), len(place)
             if base + len(names) > len(self.known):

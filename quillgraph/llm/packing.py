@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,6 @@ from . import common
 CAPACITY = 2048
 #: Pieces of a group, on average: all that a task holds.
 GROUP_PIECES = 20_000
-MOST_ROUNDS = 5
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = "uid long, " + _PIECE + ", grp long, bin long, offset long, room long, bound long, bins long"
 
@@ -120,9 +120,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     left = common.cut(spark, pieces.withColumn("uid", F.monotonically_increasing_id()))
     done = None
     released = None  # bins given up for this round
-    for turn in range(MOST_ROUNDS):
-        count = left.count()
-        groups = max(1, round(count / GROUP_PIECES))
+    for turn in count():
+        many = left.count()
+        groups = max(1, round(many / GROUP_PIECES))
         dealt = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(groups)))
         packed = common.cut(spark, dealt.groupBy("grp").applyInArrow(_pack_group(capacity), _PLACED))
         if released is not None:
@@ -150,5 +150,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def _named(packed: DataFrame, turn: int) -> DataFrame:
-    sequence = F.lit(turn).cast("long") * (1 << 58) + F.col("grp") * (1 << 24) + F.col("bin")
+    # the rounds end, as each needs fewer bins than the one before; 2^11 of them, 2^31 groups and 2^20 bins have numbers
+    sequence = F.lit(turn).cast("long") * (1 << 51) + F.col("grp") * (1 << 20) + F.col("bin")
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset", "bins", "bound")

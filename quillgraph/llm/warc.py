@@ -144,6 +144,8 @@ def write(pages: DataFrame, folder: str, least: int = 0, date: str = "2024-01-01
     # digests that occur more than once and their holder; narrow, whatever the number of copies
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), base32(F.sha1(html)).alias("digest"), F.octet_length(html).alias("n")).where(F.col("n") >= least)
     held = held.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("copies")).where("copies > 1").select("digest", "holder")
+    # a table of known size: the planner sends it to all tasks if it is small, and no payload is shuffled then
+    held = common.settle(spark, held)
     marked = rows.join(held, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("holder"), F.col("holder")).alias("refers_to"))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from . import terms
 from .functions.dates import date_literal, year
 from .functions.iri import file_name, safe_iri
 from .functions.text import language_code
-from .operators import entities, notes, ontology
+from .operators import entities, notes
 from .plans import algebra, sparql, visual
 from .runtime import fresh_dir
 from .sinks import csv_pivot, rdf_export
@@ -70,9 +70,9 @@ def nations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shop(spark: SparkSession, d: str) -> DataFrame:
-    """Customers, orders, nations and regions, without prices."""
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    """Customers, orders, nations and regions."""
+    c = table(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)"))
+    o = table(spark, d, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(15,2)"))
     return terms.union(nations(spark, d), unpivot(c, "customer", "c_custkey", {"c_nationkey": "nation"}), unpivot(o, "order", "o_orderkey", {"o_custkey": "customer"}))
 
 
@@ -91,13 +91,13 @@ def ask(quads: DataFrame, text: str) -> DataFrame:
 
 _CUSTOMER = "".join(
     f" UNION ALL SELECT '{B}customer/' || c_custkey AS s, '{V}{c}' AS p, {e} AS o, '{k}' AS o_kind, '{B}graph/customer' AS g FROM customer"
-    for c, e, k in (("c_name", "c_name", "literal"), ("c_nationkey", f"'{B}nation/' || c_nationkey", "iri"), ("c_mktsegment", "c_mktsegment", "literal"))
+    for c, e, k in (("c_name", "c_name", "literal"), ("c_nationkey", f"'{B}nation/' || c_nationkey", "iri"), ("c_mktsegment", "c_mktsegment", "literal"), ("c_acctbal", "c_acctbal::DECIMAL(15,2)::VARCHAR", "literal"))
 )[11:]
 
 
 @query(_CUSTOMER + f" UNION ALL SELECT '{B}customer/' || c_custkey, '{terms.TYPE}', '{V}customer', 'iri', '{B}graph/customer' FROM customer")
 def quads_from_customer(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    c = table(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)"))
     return unpivot(c, "customer", "c_custkey", {"c_nationkey": "nation"}).select("s", "p", "o", "o_kind", "g")
 
 
@@ -143,18 +143,6 @@ def date_normalise(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", x["o"].alias("o"), x["o_dt"].alias("o_dt"))
 
 
-@query("SELECT event_type AS label, min(event_id) AS first_event, arg_min(props, event_id) AS props, count(*) AS mentions FROM events GROUP BY event_type")
-def first_mention_props(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("label")).agg(F.min("event_id").alias("first_event"), F.min_by("props", "event_id").alias("props"), F.count("*").alias("mentions"))
-
-
-@query("SELECT p_partkey, trim(x) AS label FROM (SELECT p_partkey, unnest(string_split(p_brand || '; ' || p_type || ' ;', ';')) AS x FROM part) WHERE trim(x) <> ''")
-def split_entities(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("; "), "p_type", F.lit(" ;")).alias("v"))
-    return p.select("p_partkey", F.explode(F.filter(F.transform(F.split("v", ";"), lambda x: F.trim(x)), lambda x: x != "")).alias("label"))
-
-
 _PAIRS = """WITH RECURSIVE l AS (SELECT DISTINCT lower(p_type) AS label FROM part UNION SELECT DISTINCT lower(p_brand) FROM part),
 pairs AS ({pairs}),
 t(a, b, i, r) AS (SELECT a, b, 0, list_transform(range(length(b) + 1), lambda x: 0::BIGINT) FROM pairs
@@ -189,13 +177,6 @@ def fuzzy_best_match(spark: SparkSession, d: str) -> DataFrame:
     return entities.best_match(asked, known, ["k"], 80.0).select("label", "matched", F.round("score", 6).alias("score"))
 
 
-@query()
-def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Brands with types as mentions, resolved in key order."""
-    c = table(spark, d, "part").select(F.lit(B + "kb").alias("kb"), F.lit("brand").alias("etype"), F.concat("p_brand", F.lit(" "), "p_type").alias("label"), F.col("p_partkey").alias("rank"))
-    return entities.resolve(c, None, 95.0).select("label", "founder")
-
-
 # basic graph patterns
 
 
@@ -379,22 +360,6 @@ def note_annotations(spark: SparkSession, d: str) -> DataFrame:
     return notes.annotations(p).select("note", "id", "kind", "text", "structure")
 
 
-_FIELDS = "(VALUES ('customer','name'),('customer','nation'),('order','customer'),('order','status'),('nation','name')) AS f(class, field)"
-
-
-@query(
-    f"WITH f AS (FROM {_FIELDS}), c AS (SELECT DISTINCT class FROM f) "
-    f"SELECT '{V}' || x AS s, '{terms.TYPE}' AS p, '{terms.OWL}Class' AS o FROM (SELECT unnest(['item','library','collection','tag','creatorRole']) AS x UNION SELECT class FROM c) "
-    f"UNION ALL SELECT '{V}' || class, '{terms.RDFS}subClassOf', '{V}item' FROM c UNION ALL SELECT DISTINCT '{V}' || field, '{terms.TYPE}', '{terms.OWL}DatatypeProperty' FROM f "
-    f"UNION ALL SELECT DISTINCT '{V}' || field, '{terms.RDFS}range', '{terms.RDFS}Literal' FROM f"
-)
-def ontology_quads(spark: SparkSession, d: str) -> DataFrame:
-    types = {"customer": ["name", "nation"], "order": ["customer", "status"], "nation": ["name"]}
-    doc = [({}, [(t, [(f, None) for f in fs], []) for t, fs in types.items()])]
-    got = ontology.ontology(spark.createDataFrame(doc, ontology.SCHEMA), V).where("s_kind = 'iri'")
-    return got.where(F.col("p").isin(terms.TYPE, terms.RDFS + "subClassOf", terms.RDFS + "range")).select("s", "p", "o")
-
-
 @query(
     f"SELECT '<{B}nation/' || n_nationkey || '> <{V}n_name> \"' || n_name || '\" <{B}graph/nation> .' AS line FROM nation "
     f"UNION ALL SELECT '<{B}nation/' || n_nationkey || '> <{V}n_regionkey> <{B}region/' || n_regionkey || '> <{B}graph/nation> .' FROM nation "

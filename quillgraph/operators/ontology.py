@@ -17,7 +17,12 @@ MAIN_CLASSES = ("item", "library", "collection", "tag", "creatorRole")
 
 
 def read_schema(spark: SparkSession, path: str) -> DataFrame:
-    """The schema document: one row."""
+    """The schema document: one row. ``path``: a file, or an http address, which the driver fetches."""
+    if path.startswith("http"):
+        from ..sources.http_pages import get
+
+        text = spark.createDataFrame([(get(path).decode(),)], "j string")
+        return text.select(F.from_json("j", SCHEMA).alias("x")).select("x.*")
     return spark.read.schema(SCHEMA).option("multiLine", True).json(path)
 
 

@@ -95,3 +95,17 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
+
+
+def test_blocks_lose_no_pair_of_long_labels(spark):
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    base, other = some(1300), some(700)
+    labels = [base, "".join(c + "Z" for c in base).lower(), other, other + some(100), other[:500], some(900), "ab", "ba", "abc"]
+    df = spark.createDataFrame([("k", x) for x in labels], "k string, label string")
+    for threshold in (60, 80, 81, 90):
+        got = {frozenset((r.a, r.b)) for r in entities.blocks(df, ["k"], threshold).collect()}
+        for i, a in enumerate(labels):
+            for b in labels[:i]:
+                if indel_ratio(a, b) >= threshold:
+                    assert frozenset((a, b)) in got, (threshold, len(a), len(b))

@@ -5,9 +5,10 @@ import os
 import duckdb
 import pytest
 
-from quillgraph import bridge
+from quillgraph import bridge, bridge_documents
 
 DATA = "/root/testdata/sf0.001"
+assert bridge_documents  # adds its queries to the bridge's
 
 
 @pytest.fixture(scope="module")

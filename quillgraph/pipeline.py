@@ -33,13 +33,13 @@ def extract(spark: SparkSession, library: Library, context: Context, fetch: Call
     quads, json_files = rdf_files.read_directory(spark, library.load_from, f"{library.base_url}/items/", library.base_url)
     parts: dict[str, DataFrame | None] = {"items": None, "collections": None}
     for path in json_files:
-        docs = json_docs.read_array(spark, path)
+        docs = json_docs.read(spark, path)
         try:
             kind = json_docs.classify(docs)
         except ValueError as e:
             log.error("%s: %s", path, e)
             continue
-        parts[kind] = docs if parts[kind] is None else parts[kind].unionByName(docs)
+        parts[kind] = docs if parts[kind] is None else json_docs.after(parts[kind], docs)
     return parts["items"], parts["collections"], quads
 
 
@@ -85,7 +85,7 @@ def parse_notes(quads: DataFrame, library: Library, context: Context, found: Dat
     rules = {k: v for k, v in rules.items()}
     kb_rules = rules.pop("KnowledgeBase", [])
     html = found if found is not None else notes.select_notes(quads, context.vocab + "note", library.base_url)
-    out = notes.note_quads(notes.annotations(html, rules), library.base_url, load_mapping(settings.get("metadata")))
+    out = notes.note_quads(notes.annotations(html, rules), library.base_url, load_mapping(settings.get("metadata")), rules.get("@context"))
     if settings.get("knowledge_base_mapping") and kb_rules:
         out = terms.union(out, notes.link_entities(out, quads, kb_rules, library.knowledge_base_graph, library.base_url, settings.get("fuzzy", 90)))
     return terms.as_set(out)

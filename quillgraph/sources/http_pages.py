@@ -73,7 +73,7 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [_Page(u) for u in self.options["path"].split(",")]
+        return [_Page(u) for u in (json.loads(self.options["urls"]) if "urls" in self.options else [self.options["path"]])]
 
     def read(self, partition: _Page):
         headers = json.loads(self.options.get("headers", "{}"))
@@ -86,7 +86,8 @@ class _Reader(DataSourceReader):
 
 
 class HttpPages(DataSource):
-    """``spark.read.format("http_pages").load(url)``; options params and headers (JSON), pause, retries, backoff."""
+    """``spark.read.format("http_pages").load(url)``; options params and headers (JSON), pause, retries, backoff,
+    and urls (a JSON list), for several endpoints in place of one."""
 
     @classmethod
     def name(cls) -> str:

@@ -57,8 +57,8 @@ def parse_files(files: DataFrame, base: str, graph: str | None) -> DataFrame:
     return files.select("path", "content").mapInArrow(read, ", ".join(f"{c} string" for c in terms.COLUMNS))
 
 
-def read(spark: SparkSession, path: str, extension: str, base: str = "", graph: str | None = None) -> DataFrame:
-    """Quads of a file, or of all files that a pattern names. ``graph``: where triples go."""
+def read(spark: SparkSession, path: str | list[str], extension: str, base: str = "", graph: str | None = None) -> DataFrame:
+    """Quads of a file, of several, or of all files that a pattern names. ``graph``: where triples go."""
     if extension in ("nt", "nq"):
         lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
         return parse_lines(lines, F.col("file"), graph)
@@ -73,11 +73,12 @@ def read_directory(spark: SparkSession, directory: str, base: str = "", graph: s
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return out, json_files
-    found = sorted(str(x.getPath()) for x in fs.listStatus(path) if x.isFile())
+    # a JSON dump is a folder of files
+    found = sorted(str(x.getPath()) for x in fs.listStatus(path) if x.isFile() or x.getPath().getName().endswith(".json"))
     by: dict[str, list[str]] = {}
     for f in found:
         by.setdefault(f.rsplit(".", 1)[-1].lower(), []).append(f)
     for extension in EXTENSIONS:
-        for f in by.get(extension, ()):
-            out = out.unionByName(read(spark, f, extension, base, graph))
+        if by.get(extension):
+            out = out.unionByName(read(spark, by[extension], extension, base, graph))
     return terms.as_set(out), by.get("json", [])

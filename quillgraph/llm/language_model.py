@@ -9,7 +9,7 @@ second word has. A word shard merges these with the word counts into a file of s
 
 Scoring. Workers map the files into memory and look up the sorted different words and pairs of a
 few megabytes of text at a time. Files in a folder that is a local path for every worker are
-mapped in place; others are fetched once a worker, and unlinked as soon as they are mapped.
+mapped in place; those of a remote store are fetched into anonymous maps, up to ``FETCHED_BYTES``.
 
 The probability of a word w behind v, with counts c and discounts D by count (1, 2, 3 and more):
     p(w|v) = (c(vw) - D(c(vw))) / c(v) + g(v) p(w),  g(v) = sum of D over v's followers / c(v)
@@ -26,8 +26,6 @@ uniform scores; an empty table gives no rows.
 from __future__ import annotations
 
 import mmap
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -128,7 +126,7 @@ def _count(bits: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, docs = [], 0, 0
         for batch in batches:
-            for part in common.pieces(batch, "text"):
+            for part in common.pieces(batch, "text", 4 << 20):
                 w, v, counts, _ = tokens(part.column("text"))
                 held.append((w, v))
                 size, docs = size + len(w), docs + len(counts)
@@ -318,25 +316,34 @@ def fit(docs: DataFrame, folder: str) -> Model:
     return Model(bits, word_files, pair_files, discounts(of), lower, n_before, back_off, int(totals[6]), int(totals[7]))
 
 
+#: Bytes of files of a remote store that a worker holds.
+FETCHED_BYTES = 1 << 30
 _maps: dict[str, np.ndarray] = {}
+_fetched: dict[str, int] = {}
 
 
 def _mapped(path: str) -> np.ndarray:
-    """The bytes of a file, mapped into memory; a file of a remote store is fetched and unlinked at once."""
+    """The bytes of a file, mapped into memory; those of a remote store are fetched into anonymous maps, the oldest of which go first."""
     if path not in _maps:
         while len(_maps) > 4096:
-            _maps.pop(next(iter(_maps)))
+            old = next(iter(_maps))
+            _maps.pop(old)
+            _fetched.pop(old, None)
         fs, at = common.filesystem(path)
         if fs.type_name == "local":
             with open(at, "rb") as f:
                 _maps[path] = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
         else:
-            with fs.open_input_stream(at, compression=None) as f, tempfile.NamedTemporaryFile(delete=False) as to:
+            size = fs.get_file_info(at).size
+            while _fetched and sum(_fetched.values()) + size > FETCHED_BYTES:
+                old = next(iter(_fetched))
+                _fetched.pop(old)
+                _maps.pop(old, None)
+            held = mmap.mmap(-1, max(size, 1))
+            with fs.open_input_stream(at, compression=None) as f:
                 while part := f.read(4 << 20):
-                    to.write(part)
-            with open(to.name, "rb") as g:
-                _maps[path] = np.frombuffer(mmap.mmap(g.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
-            os.unlink(to.name)
+                    held.write(part)
+            _maps[path], _fetched[path] = np.frombuffer(held, np.uint8)[:size], size
     return _maps[path]
 
 
@@ -418,12 +425,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
-            for part in common.pieces(batch, "text"):
+            for part in common.pieces(batch, "text", 4 << 20):
                 n, known, base, own = reader.score(part.column("text"))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(n), model.tokens), pa.int64()), "base_score": base, "score": own})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(common.freed(scan), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

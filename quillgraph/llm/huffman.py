@@ -186,7 +186,7 @@ def encode(docs: DataFrame, folder: str, vocabulary: int, tokenizer: str = "byte
 
     spool_schema = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    spooled = common.cut(spark, ordered.mapInArrow(spool, "part long, path string, n_docs long, n_tokens long, id long, n long"))
+    spooled = common.cut(spark, ordered.mapInArrow(common.freed(spool), "part long, path string, n_docs long, n_tokens long, id long, n long"))
     counts = np.zeros(vocabulary, np.int64)
     for i, n in spooled.where("id >= 0").groupBy("id").agg(F.sum("n")).collect():  # one row an id of the vocabulary
         counts[i] = n

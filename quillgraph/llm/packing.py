@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id:
                 names = ("doc_id", "piece", "start", "length", "ids_crc32")
                 yield pa.record_batch([pa.array(x, pa.int32() if n == "piece" else pa.int64()) for n, x in zip(names, zip(*out))], names=list(names))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, _PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.freed(scan), _PIECE)
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one where none is set and Spark is local (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)

@@ -32,6 +32,8 @@ from . import common
 LONGEST = 16
 BLOCK = 256
 GROUP_TOKENS = 1 << 20
+#: Memory of the tokenizer's units that a worker keeps.
+CACHE_BYTES = 224 << 20
 MAGIC = b"QGHUFF1\n"
 _GROUP = "<IQQQQ"
 
@@ -148,7 +150,7 @@ def encode(docs: DataFrame, folder: str, vocabulary: int, tokenizer: str = "byte
         from pyspark import TaskContext
         from .tokens import encoder
 
-        enc, part = encoder(tokenizer, tokenizers), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, tokenizers, cache_bytes=CACHE_BYTES), TaskContext.get().partitionId()
         counts, held, names, sizes, n_docs, total = np.zeros(vocabulary, np.int64), [], [], [], 0, 0
         tail, path, f = np.array([end_id], "<u4").tobytes(), f"{folder}/spool-{part:07d}-{uuid.uuid4().hex}", None
         fs, root = common.filesystem(folder)

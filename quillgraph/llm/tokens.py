@@ -54,7 +54,7 @@ def _byte_names() -> dict[int, str]:
 class Encoder:
     """``ids`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, file: str, units, lower: bool, special: bool = True):
+    def __init__(self, file: str, units, lower: bool, special: bool = True, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,7 +63,7 @@ class Encoder:
         self.at_marks = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")") if self.marks else None
         # what is left between the marks is ordinary text
         self.tokenizer.encode_special_tokens = True
-        self.units, self.lower, self.cache, self.room = units, lower, {}, CACHE_BYTES
+        self.units, self.lower, self.cache, self.room = units, lower, {}, cache_bytes
         self.pieces: dict[str, bytes] = {}
         self.names = str.maketrans({chr(b): c for b, c in _byte_names().items()})
 
@@ -136,9 +136,9 @@ class Encoder:
         return list(map(b"".join, out))
 
 
-def encoder(name: str, folder: str | None = None, special: bool = True) -> Encoder:
+def encoder(name: str, folder: str | None = None, special: bool = True, cache_bytes: int = CACHE_BYTES) -> Encoder:
     """The encoder of a public tokenizer's file, one a worker process. ``folder``: where the files lie."""
-    key = f"{folder}/{name}/{special}"
+    key = f"{folder}/{name}/{special}/{cache_bytes}"
     if key not in _made:
         if folder:
             file = os.path.join(folder, name)
@@ -147,5 +147,5 @@ def encoder(name: str, folder: str | None = None, special: bool = True) -> Encod
 
             file = public_tokenizers.path(name)
         word = name.startswith("word_")
-        _made[key] = Encoder(file, _word_units if word else _space_units, word, special)
+        _made[key] = Encoder(file, _word_units if word else _space_units, word, special, cache_bytes)
     return _made[key]

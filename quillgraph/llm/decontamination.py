@@ -38,8 +38,8 @@ SHORT = 8
 IDENTITY = 0.8
 #: Column of the rows' numbers in ``clean``.
 ROW = "_row"
-#: Least and most bits, as powers of two, of the map that the scan looks up: at most 32 MB are broadcast.
-LEAST_BITS, MOST_BITS = 20, 28
+#: Bits of the map a seed, and its least and most bits as powers of two: at most 32 MB are broadcast.
+SEED_BITS, LEAST_BITS, MOST_BITS = 256, 22, 28
 
 
 def seed_hashes(h: np.ndarray, counts: np.ndarray, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +114,8 @@ def _words(lists: pa.Array, row: int) -> np.ndarray:
 
 
 def map_bits(seeds: int) -> int:
-    """Size of the map, as a power of two, for a number of seeds: 16 bits a seed, within the bounds."""
-    return min(max((16 * max(seeds, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    """Size of the map, as a power of two, for a number of seeds, within the bounds."""
+    return min(max((SEED_BITS * max(seeds, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def _probes(bits: int) -> tuple[int, int]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from ..runtime import components
 
-__all__ = ["components", "cut", "filesystem", "freed", "fresh_dir", "let", "pieces", "settle", "shared_dir", "table"]
+__all__ = ["components", "cut", "filesystem", "free", "freed", "fresh_dir", "let", "pieces", "settle", "shared_dir", "table"]
 
 #: Rows of an Arrow batch that Spark hands to Python; long texts make the default of 10,000 too many.
 BATCH_ROWS = 1000
@@ -52,6 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a folder in any store that pyarrow knows."""
     from pyarrow import fs

@@ -36,8 +36,6 @@ LEAST_WORDS = 12
 #: Benchmark texts of fewer words have masks of their own.
 SHORT = 8
 IDENTITY = 0.8
-#: Column of the rows' numbers in ``clean``.
-ROW = "_row"
 #: Bits of the map a seed, and its least and most bits as powers of two: at most 32 MB are broadcast.
 SEED_BITS, LEAST_BITS, MOST_BITS = 256, 22, 28
 
@@ -265,6 +263,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Each row is judged by its own text, also where rows have no ``doc_id`` or repeat one.
     """
     spark = docs.sparkSession
-    rows = common.settle(spark, docs.withColumn(ROW, F.monotonically_increasing_id()))  # written, so the numbers stay
-    found = overlaps(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(common.settle(spark, found), ROW, "left_anti").select(*docs.columns)
+    row = common.free(docs, "_row")
+    rows = common.settle(spark, docs.withColumn(row, F.monotonically_increasing_id()))  # written, so the numbers stay
+    found = overlaps(rows.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(common.settle(spark, found), row, "left_anti").select(*docs.columns)

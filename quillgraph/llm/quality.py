@@ -106,7 +106,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass."""
     ratios = F.from_json(F.lit(json.dumps(multinomials(docs, labels))), "array<double>")
-    return docs.withColumn("_kept", _kept_of(F.coalesce(F.col("text").cast("string"), F.lit("")), ratios)).where("_kept").drop("_kept")
+    return docs.where(_kept_of(F.coalesce(F.col("text").cast("string"), F.lit("")), ratios))
 
 
 def _features(text: Column, ratios: Column) -> Column:

@@ -8,6 +8,8 @@ never needs a product while a connected one exists. Catalyst does the rest.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,6 +150,22 @@ class Solutions:
         return self.df.columns
 
 
+def _met(rows: DataFrame, partners: list[tuple[DataFrame, Column | None]], how: str) -> DataFrame:
+    """``rows`` joined with the union of ``partners`` (table, condition), each by its own condition."""
+    if len(partners) == 1:
+        (r, on), = partners
+        return rows.crossJoin(r) if on is None and how == "inner" else rows.join(r, F.lit(True) if on is None else on, how)
+    if how in ("inner", "left") and partners:
+        out = reduce(DataFrame.unionByName, [_met(rows, [p], "inner") for p in partners])
+        return out if how == "inner" else out.unionByName(_met(rows, partners, "left_anti"), allowMissingColumns=True)
+    found = []
+    for r, on in partners:
+        if how == "left_semi":
+            found.append(_met(rows, [(r, on)], how))
+        rows = _met(rows, [(r, on)], "left_anti")
+    return reduce(DataFrame.unionByName, found) if found else rows
+
+
 @dataclass
 class Dataset:
     """A quad table to query. ``apart``: no triple is in two graphs, so unions of graphs need no distinct."""
@@ -269,23 +287,27 @@ class Compiler:
             df = df.withColumnRenamed(n, n + "__r")
         return df
 
-    def _joined(self, left: Solutions, right: Solutions, how: str = "inner", condition=None) -> Solutions:
+    def _joined(self, left: Solutions, right: Solutions, how: str = "inner", condition=None, overlap: bool = False) -> Solutions:
+        """``overlap``: rows meet only if a shared variable is bound in both, as MINUS has it."""
         fixed, loose = self._condition(left, right)
         names = fixed + loose
         r = self._renamed(right, names)
-        on = None
-        for n in names:
-            same = F.col(n) == F.col(n + "__r")
-            if n in loose:
-                same = same | F.col(n).isNull() | F.col(n + "__r").isNull()
-            on = same if on is None else on & same
+        also = None
         if condition is not None:
             both = {n: (F.coalesce(n, n + "__r") if n in names else F.col(n)) for n in dict.fromkeys([*left.names, *right.names])}
-            c = condition.boolean(both)
-            on = c if on is None else on & c
+            also = condition.boolean(both)
+        if loose and not fixed:
+            df = self._by_bound(left, right, r, loose, how, also, overlap)
+        else:
+            on = also
+            for n in names:
+                same = F.col(n) == F.col(n + "__r")
+                if n in loose:
+                    same = same | F.col(n).isNull() | F.col(n + "__r").isNull()
+                on = same if on is None else on & same
+            df = _met(left.df, [(r, on)], how)
         if how in ("left_semi", "left_anti"):
-            return Solutions(left.df.join(r, on if on is not None else F.lit(True), how), set(left.maybe))
-        df = left.df.crossJoin(r) if on is None and how == "inner" else left.df.join(r, on if on is not None else F.lit(True), how)
+            return Solutions(df, set(left.maybe))
         rest = [n for n in right.names if n not in names]
         cols = [(F.coalesce(n, n + "__r").alias(n) if n in loose else F.col(n)) for n in left.names] + [F.col(n) for n in rest]
         maybe = (left.maybe | right.maybe) - {n for n in loose if n not in left.maybe or (n not in right.maybe and how == "inner")}
@@ -293,6 +315,31 @@ class Compiler:
             maybe |= set(rest)
         return Solutions(df.select(*cols), maybe)
 
+    def _by_bound(self, left: Solutions, right: Solutions, r: DataFrame, loose: list[str], how: str, also, overlap: bool) -> DataFrame:
+        """The join where all shared variables may be unbound: rows that bind the same ones meet by equality."""
+
+        def parts(df: DataFrame, maybe: set, mark: str):
+            options = [n for n in loose if n in maybe]
+            for k in range(1 << len(options)):
+                unbound = {n for i, n in enumerate(options) if k >> i & 1}
+                part = df
+                for n in options:
+                    part = part.where(F.col(n + mark).isNull() if n in unbound else F.col(n + mark).isNotNull())
+                yield unbound, part
+
+        out = None
+        rights = list(parts(r, right.maybe, "__r"))
+        for unbound, rows in parts(left.df, left.maybe, ""):
+            partners = []
+            for missing, others in rights:
+                equal = [F.col(n) == F.col(n + "__r") for n in loose if n not in unbound and n not in missing]
+                if equal or not overlap:
+                    needed = equal + ([also] if also is not None else [])
+                    partners.append((others, reduce(and_, needed) if needed else None))
+            one = _met(rows, partners, how)
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def _join(self, node: Join) -> Solutions:
         return self._joined(self(node.left), self(node.right))
 
@@ -304,19 +351,7 @@ class Compiler:
         fixed, loose = self._condition(left, right)
         if not fixed and not loose:
             return left  # no shared variable: nothing is taken away
-        if loose and not fixed:
-            # at least one shared variable must be bound on both sides
-            r = self._renamed(right, loose)
-            compatible = None
-            some = None
-            for n in loose:
-                a, b = F.col(n), F.col(n + "__r")
-                c = a.isNull() | b.isNull() | (a == b)
-                compatible = c if compatible is None else compatible & c
-                d = a.isNotNull() & b.isNotNull()
-                some = d if some is None else some | d
-            return Solutions(left.df.join(r, compatible & some, "left_anti"), set(left.maybe))
-        return self._joined(left, right, "left_anti")
+        return self._joined(left, right, "left_anti", overlap=True)
 
     def _exists(self, node: Exists) -> Solutions:
         inner = self(node.inner)

@@ -1,13 +1,15 @@
 """Property paths as pairs of nodes, and closures as a semi-naive fixpoint.
 
 Each round of a closure joins only the pairs that the round before found with the edges, drops those
-known already, and cuts the lineage in reliable storage; it ends on cyclic graphs too. A fixed start
-or end is pushed into the first round, so only what it reaches is ever made.
+known already, and cuts the lineage in reliable storage; it ends on cyclic graphs too. Tables of equal
+numbers of rounds are merged, so a pair is rewritten once for each doubling of the rounds. A fixed
+start or end is pushed into the first round, so only what it reaches is ever made.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,14 +120,19 @@ def closure(edges: DataFrame, start=None) -> DataFrame:
     spark = edges.sparkSession
     edges = cut(spark, edges)
     found = cut(spark, edges.where(F.col("a") == start.column()) if start is not None else edges)
-    new, parts = found, found
+    new, parts = found, [(1, found)]  # (rounds, their pairs)
     for _ in range(MOST_ROUNDS):
         step = edges.select(F.col("a").alias("m"), F.col("b").alias("c"))
         ahead = new.join(step, F.col("b") == F.col("m")).select("a", F.col("c").alias("b")).distinct()
-        new = cut(spark, ahead.join(parts, ["a", "b"], "left_anti"))
+        for _, known in parts:
+            ahead = ahead.join(known, ["a", "b"], "left_anti")
+        new = cut(spark, ahead)
         if not new.take(1):
-            return parts
-        parts = cut(spark, parts.union(new))
+            return reduce(DataFrame.union, [known for _, known in parts])
+        parts.append((1, new))
+        while len(parts) > 1 and parts[-1][0] == parts[-2][0]:
+            (n, x), (_, y) = parts.pop(), parts.pop()
+            parts.append((2 * n, cut(spark, x.union(y).repartition("a", "b"))))
     raise RuntimeError(f"a path is longer than {MOST_ROUNDS} steps")
 
 

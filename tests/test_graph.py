@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph import terms
 from quillgraph.operators import notes, ontology
-from quillgraph.plans import algebra, sparql, visual
+from quillgraph.plans import algebra, paths, sparql, visual
 from quillgraph.sinks import csv_pivot, rdf_export
 from quillgraph.sinks.store import Store, pattern
 from quillgraph.sources import csv_quads, http_pages, rdf_files, rdf_parser
@@ -261,3 +262,39 @@ def test_refresh_plans(spark, tmp_path):
     rows = []
     refresh.on_new_files(spark, str(tmp_path / "in"), lambda df, epoch: rows.extend(df.collect()), str(tmp_path / "k")).awaitTermination(60)
     assert len(rows) == 2
+
+
+def test_joins_of_unbound_variables(spark):
+    """All joins on variables that either side may leave unbound, against their definition."""
+    rng = random.Random(3)
+    row = lambda n: [rng.choice([None, "p", "q", "r"]) for _ in range(n)]
+    left, right = [[*row(2), f"l{i}"] for i in range(24)], [[*row(2), f"r{i}"] for i in range(6)]
+
+    def solutions(rows, names):
+        term = lambda x: None if x is None else (x, "iri", None, None)
+        df = spark.createDataFrame([tuple(map(term, r)) for r in rows], ", ".join(f"{n} {algebra.TERM}" for n in names))
+        return algebra.Solutions(df, {"x", "y"})
+
+    def plain(out):
+        return sorted(repr(tuple(None if r[n] is None else r[n].v for n in sorted(out.names))) for r in out.df.collect())
+
+    a, b = solutions(left, ["x", "y", "l"]), solutions(right, ["x", "y", "r"])
+    fit = lambda s, t: all(i is None or j is None or i == j for i, j in zip(s[:2], t[:2]))
+    both = lambda s, t: any(i is not None and j is not None for i, j in zip(s[:2], t[:2]))
+    met = [(s[2], t[2], s[0] or t[0], s[1] or t[1]) for s in left for t in right if fit(s, t)]
+    alone = [(s[2], None, s[0], s[1]) for s in left if not any(fit(s, t) for t in right)]
+    compiler = algebra.Compiler(algebra.Dataset(terms.empty(spark)))
+    assert plain(compiler._joined(a, b)) == sorted(map(repr, met))
+    assert plain(compiler._joined(a, b, "left")) == sorted(map(repr, met + alone))
+    kept = lambda wanted: sorted(repr((s[2], s[0], s[1])) for s in left if wanted(s))
+    assert plain(compiler._joined(a, b, "left_semi")) == kept(lambda s: any(fit(s, t) for t in right))
+    assert plain(compiler._joined(a, b, "left_anti")) == kept(lambda s: not any(fit(s, t) for t in right))
+    assert plain(compiler._joined(a, b, "left_anti", overlap=True)) == kept(lambda s: not any(fit(s, t) and both(s, t) for t in right))
+
+
+def test_closure_of_a_long_chain(spark):
+    """More rounds than tables of known pairs."""
+    node = lambda k: (f"{N}{k}", "iri", None, None)
+    edges = spark.createDataFrame([(node(k), node(k + 1)) for k in range(11)] + [(node(11), node(9))], f"a {algebra.TERM}, b {algebra.TERM}")
+    got = sorted((int(r.a.v.removeprefix(N)), int(r.b.v.removeprefix(N))) for r in paths.closure(edges).collect())
+    assert got == [(i, j) for i in range(12) for j in range(12) if i < j or min(i, j) >= 9]

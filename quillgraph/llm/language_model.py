@@ -1,22 +1,29 @@
-"""Interpolated modified Kneser-Ney bigram model in sorted, memory-mapped hash arrays.
+"""Interpolated modified Kneser-Ney model of any order in sorted, memory-mapped hash arrays.
 
-Counting. Each task of a scan hashes its words by array operations, merges equal words and equal
-pairs of adjacent words, and sends them, packed, to shards. A pair's shard takes half of its bits
-from the first word and half from the second, so a word that is everywhere spreads over many
-shards. A pair shard merges its pairs into one file of sorted hashes and counts, and passes on how
-many followers each first word has (seen once, twice, more often) and how many predecessors each
-second word has. A word shard merges these with the word counts into a file of sorted arrays.
+A sequence of m words, a gram, is told by the hashes of its first and of its last m - 1 words, its
+prefix and its suffix; the hash of both is its own.
 
-Scoring. Workers map the files into memory and look up the sorted different words and pairs of a
+Counting. Each task of a scan hashes its words by array operations, merges equal words and equal
+grams, and sends them, packed, to shards. A gram's shard takes half of its bits from the prefix and
+half from the suffix, so a word that is everywhere spreads over many shards. From the longest grams
+down, a shard merges its grams into one file of sorted hashes and counts, and passes on how many
+followers each prefix has (seen once, twice, more often) and how many predecessors each suffix has.
+These are the counts of the grams one word shorter; a gram at a text's start, with no predecessor,
+keeps its own count. Shards are as many as the text needs, but a task splits its counts into at most
+4^``FAN_BITS`` blobs; where the shards are more, further shuffles split these again.
+
+Scoring. Workers map the files into memory and look up the sorted different words and grams of a
 few megabytes of text at a time. Files in a folder that is a local path for every worker are
 mapped in place; those of a remote store are fetched into anonymous maps, up to ``FETCHED_BYTES``.
+Which files there are is read from index files, one for ``INDEXED`` shards.
 
-The probability of a word w behind v, with counts c and discounts D by count (1, 2, 3 and more):
-    p(w|v) = (c(vw) - D(c(vw))) / c(v) + g(v) p(w),  g(v) = sum of D over v's followers / c(v)
+The probability of a word w behind h, with counts c and discounts D by count (1, 2, 3 and more):
+    p(w|h) = (c(hw) - D(c(hw))) / c(h) + g(h) p(w|h'),  g(h) = sum of D over h's followers / c(h)
     p(w)   = (n(w) - E(n(w))) / n + g / (V + 1),     n(w): different words before w, n: their sum
-and p(w) alone if v was never seen. A text starts behind a start mark and closes with an end token.
+h' is h without its first word, c(h) the sum of its followers' counts; p(w|h') alone if h was never
+seen. A text starts behind a start mark and closes with an end token.
 
-Words are told apart by 64 bits, the words of a pair by 48 bits each.
+Words are told apart by 64 bits, prefixes and suffixes by 48 bits each.
 
 Defined cases: a null or empty text is the end token alone; a null ``doc_id`` is in the training
 part; repeated rows count and score each; other columns are ignored; an empty training part gives
@@ -25,6 +32,7 @@ uniform scores; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import mmap
 import uuid
 from collections.abc import Iterator
@@ -39,12 +47,15 @@ from . import common
 
 #: Hashes of the end token and of the start mark; no word has them but by chance.
 END, START = 0x5BD1E9955BD1E995, 0xC2B2AE3D27D4EB4F
-#: Tokens whose pairs a counting task merges at once, and text bytes a shard.
+#: Tokens whose grams a counting task merges at once, and text bytes a shard.
 MERGE_TOKENS = 2_500_000
 SHARD_BYTES = 32 << 20
-_BLOB = "shard int, kind int, n long, a binary, b binary, c binary, d binary"
-_BLOB_SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), *[(x, pa.binary()) for x in "abcd"]])
-_WORD, _PAIR, _FIRST, _SECOND, _FILE, _COUNTS = range(6)
+#: A task splits its counts by twice as many bits at most; shards of an index file.
+FAN_BITS = 6
+INDEXED = 4096
+_BLOB = "shard int, depth int, kind int, size int, n long, a binary, b binary, c binary, d binary, e binary"
+_BLOB_SCHEMA = pa.schema([("shard", pa.int32()), ("depth", pa.int32()), ("kind", pa.int32()), ("size", pa.int32()), ("n", pa.int64()), *[(x, pa.binary()) for x in "abcde"]])
+_GRAM, _FIRST, _SECOND, _FILE, _COUNTS = range(5)
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -52,53 +63,123 @@ def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def _zip(x: np.ndarray, width: int = 0) -> bytes:
-    """``x`` compressed; with ``width``, its values' upper bytes only, lowest first, in planes."""
+def _keys(x: np.ndarray, width: int) -> bytes:
+    """The upper ``width`` bytes of hashes, lowest first, in planes, compressed."""
     import zstandard
 
-    if width:
-        x = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T)
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _unzip(b: bytes, kind, width: int = 0) -> np.ndarray:
+def _unkeys(b: bytes, width: int) -> np.ndarray:
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(b) if b else b""
-    if not width:
-        return np.frombuffer(raw, kind)
-    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, 8 - width :] = planes.T
     return out.view("<u8").reshape(-1)
 
 
+def _ints(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest, and compressed."""
+    import zstandard
+
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return kind.char.encode() + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
+
+
+def _unints(b: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), b[:1].decode()).astype(np.int64)
+
+
 def _narrow(h: np.ndarray) -> np.ndarray:
-    """A word's hash as a member of a pair: its upper 48 bits."""
+    """A hash as a prefix or suffix: its upper 48 bits."""
     return h & np.uint64(0xFFFFFFFFFFFF0000)
 
 
-def pair_key(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
-    """Hash of pairs of narrowed words; its upper 2 * ``bits`` bits are the shard."""
+def gram_key(prefix: np.ndarray, suffix: np.ndarray, bits: int) -> np.ndarray:
+    """Hash of grams of narrowed prefixes and suffixes; its upper 2 * ``bits`` bits are the shard."""
     from .bytescan import mix
 
-    k = mix(v * np.uint64(0x9FB21C651E98DF25) + w)
-    if not bits:
-        return k
-    shard = ((v >> np.uint64(64 - bits)) << np.uint64(bits)) | (w >> np.uint64(64 - bits))
+    k = mix(prefix * np.uint64(0x9FB21C651E98DF25) + suffix)
+    shard = ((prefix >> np.uint64(64 - bits)) << np.uint64(bits)) | (suffix >> np.uint64(64 - bits))
     return (shard << np.uint64(64 - 2 * bits)) | (k >> np.uint64(2 * bits))
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """First places of the runs of equal values."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
 def _sum(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Different keys in order, and the sums of their counts."""
     if not len(keys):
         return (keys, *counts)
     order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    first = _runs(keys)
     return (keys[first], *[np.add.reduceat(c[order].astype(np.int64), first) for c in counts])
 
 
+def _merged(kind: int, size: int, parts: list[tuple], bits: int) -> tuple[np.ndarray, tuple]:
+    """(different keys in order, the arrays of ``_pack`` with equal keys summed)."""
+    arrays = [np.concatenate(x) for x in zip(*parts)]
+    if kind != _GRAM or size == 1:
+        out = _sum(*arrays)
+        return out[0], out
+    v, w, c = arrays
+    key = gram_key(v, w, bits)
+    order = np.argsort(key)
+    key = key[order]
+    first = _runs(key)
+    count = np.add.reduceat(c[order], first) if len(key) else c
+    return key[first], (v[order[first]], w[order[first]], count)
+
+
+def _pack(kind: int, size: int, arrays: tuple) -> list[bytes]:
+    """Columns a to e of words (key, count), longer grams (prefix, suffix, count) or numbers of a key."""
+    if kind == _GRAM and size > 1:
+        v, w, c = arrays
+        order = np.argsort(v)
+        v = v[order]
+        run = _runs(v)
+        out = [_keys(v[run], 6), _ints(np.diff(np.append(run, len(v)))), _keys(w[order], 6), _ints(c[order])]
+    else:
+        out = [_keys(arrays[0], 8 if kind == _GRAM else 6), *map(_ints, arrays[1:])]
+    return out + [b""] * (5 - len(out))
+
+
+def _unpack(row: dict) -> tuple:
+    if row["kind"] == _GRAM and row["size"] > 1:
+        return np.repeat(_unkeys(row["a"], 6), _unints(row["b"])), _unkeys(row["c"], 6), _unints(row["d"])
+    return _unkeys(row["a"], 8 if row["kind"] == _GRAM else 6), *[_unints(row[x]) for x in "bcde" if row[x]]
+
+
+def _blobs(kind: int, size: int, key: np.ndarray, arrays: tuple, depth: int) -> Iterator[tuple]:
+    """Rows of the shards of ``depth`` that the sorted keys fall into."""
+    shard = (key >> np.uint64(64 - 2 * depth)).astype(np.int64)
+    cuts = _runs(shard)
+    for a, b in zip(cuts, np.append(cuts[1:], len(key))):
+        yield int(shard[a]), depth, kind, size, int(b - a), *_pack(kind, size, tuple(x[a:b] for x in arrays))
+
+
+def _batches(rows: Iterator[tuple], most: int = 256) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield _rows(held)
+            held = []
+    if held:
+        yield _rows(held)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(_BLOB_SCHEMA), _BLOB_SCHEMA)], schema=_BLOB_SCHEMA)
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens with an end token a row, the token before each, tokens of each row, first of each row)."""
     from .bytescan import words
@@ -117,55 +198,78 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return out, before, counts, firsts
 
 
-def _count(bits: int):
-    shards = 1 << (2 * bits)
+def _grams(w: np.ndarray, v: np.ndarray, at: np.ndarray, order: int, bits: int) -> Iterator[tuple]:
+    """(size, places, prefixes, suffixes) of the grams that end at tokens ``w`` behind ``v``, the ``at``-th of their texts."""
+    prefix, suffix, places = _narrow(v), _narrow(w), np.arange(len(w))
+    yield 2, places, prefix, suffix
+    for size in range(3, order + 1):
+        key = np.zeros(len(w), np.uint64)
+        key[places] = _narrow(gram_key(prefix, suffix, bits))
+        places = np.flatnonzero(at >= size - 2)
+        prefix, suffix = key[places - 1], key[places]
+        yield size, places, prefix, suffix
 
-    def shard_of(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - 2 * bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
+def _count(bits: int, depth: int, order: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, docs = [], 0, 0
+        held, size = [], 0
         for batch in batches:
             for part in common.pieces(batch, "text", 4 << 20):
-                w, v, counts, _ = tokens(part.column("text"))
-                held.append((w, v))
-                size, docs = size + len(w), docs + len(counts)
+                w, v, counts, firsts = tokens(part.column("text"))
+                held.append((w, v, np.arange(len(w)) - np.repeat(firsts, counts)))
+                size += len(w)
                 if size >= MERGE_TOKENS:
-                    yield from merged(held, docs)
-                    held, size, docs = [], 0, 0
+                    yield from _batches(merged(held), 64)
+                    held, size = [], 0
         if held:
-            yield from merged(held, docs)
+            yield from _batches(merged(held), 64)
 
-    def merged(held, docs: int) -> Iterator[pa.RecordBatch]:
-        w, v = (np.concatenate(x) for x in zip(*held))
+    def merged(held) -> Iterator[tuple]:
+        w, v, at = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        words, count = _sum(w, np.ones(len(w), np.int64))
-        words, count = np.append(words, np.uint64(START)), np.append(count, docs)
-        order = np.argsort(words)
-        words, count = words[order], count[order]
-        at = np.searchsorted(shard_of(words), np.arange(shards + 1))
-        yield _rows([(s, _WORD, b - a, _zip(words[a:b], 8), _zip(count[a:b].astype("<u8"), 0), b"", b"") for s, a, b in zip(range(shards), at, at[1:]) if b > a])
-        v, w = _narrow(v), _narrow(w)
-        key = pair_key(v, w, bits)
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        count = np.diff(np.append(first, len(key)))
-        v, w, key = v[order[first]], w[order[first]], key[first]
-        at = np.searchsorted(shard_of(key), np.arange(shards + 1))
-        for s, a, b in zip(range(shards), at, at[1:]):
-            if b > a:
-                order = np.argsort(v[a:b])
-                x = v[a:b][order]
-                run = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-                runs = np.diff(np.append(run, len(x)))
-                yield _rows([(s, _PAIR, b - a, _zip(x[run], 6), _zip(runs.astype("<u4")), _zip(w[a:b][order], 6), _zip(count[a:b][order].astype("<u4")))])
+        docs = int((at == 0).sum())
+        key, arrays = _merged(_GRAM, 1, [(w, np.ones(len(w), np.int64)), (np.array([START], np.uint64), np.array([docs]))], bits)
+        yield from _blobs(_GRAM, 1, key, arrays, depth)
+        for size, _, prefix, suffix in _grams(w, v, at, order, bits):
+            key, arrays = _merged(_GRAM, size, [(prefix, suffix, np.ones(len(prefix), np.int64))], bits)
+            yield from _blobs(_GRAM, size, key, arrays, depth)
 
     return scan
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 7, _BLOB_SCHEMA)], schema=_BLOB_SCHEMA)
+def _resplit(bits: int, depth: int):
+    """Blobs of fewer, larger shards to those of shards of ``depth``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, entries = {}, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.setdefault((row["kind"], row["size"]), []).append(_unpack(row))
+                entries += row["n"]
+                if entries >= MERGE_TOKENS:
+                    yield from _batches(split(held))
+                    held, entries = {}, 0
+        yield from _batches(split(held))
+
+    def split(held: dict) -> Iterator[tuple]:
+        for (kind, size), parts in held.items():
+            yield from _blobs(kind, size, *_merged(kind, size, parts, bits), depth)
+
+    return scan
+
+
+def _to_shards(blobs: DataFrame, bits: int, fan: int, text_bytes: int) -> DataFrame:
+    """``blobs`` of all depths as blobs of single shards."""
+    depth = min(bits, fan)
+    while depth < bits:
+        groups, partitions = 1 << (2 * depth), max(8, text_bytes // (128 << 20))
+        # a large group is dealt to several tasks, by the task it comes from so that a second try deals alike
+        slices = F.pmod(F.spark_partition_id(), F.lit(max(1, -(-partitions // groups))))
+        after = min(bits, depth + fan)
+        coarse = blobs.where(F.col("depth") == depth).withColumn("slice", slices).repartition(int(partitions), "shard", "slice").drop("slice")
+        blobs = blobs.where(F.col("depth") != depth).union(coarse.mapInArrow(_resplit(bits, after), _BLOB))
+        depth = after
+    return blobs
 
 
 def _save(folder: str, name: str, *arrays: np.ndarray) -> str:
@@ -179,82 +283,101 @@ def _save(folder: str, name: str, *arrays: np.ndarray) -> str:
     return path
 
 
-def _merge_pairs(folder: str, bits: int):
-    shards = 1 << (2 * bits)
+def _clipped(x: np.ndarray) -> tuple[int, list[np.ndarray]]:
+    """(large ones, arrays): the places and values of those above 254, and all as bytes."""
+    big = np.flatnonzero(x >= 255)
+    return len(big), [big.astype("<u8"), x[big].astype("<u8"), np.minimum(x, 255).astype(np.uint8)]
+
+
+def _of_shard(table: pa.Table) -> dict[tuple[int, int], list[tuple]]:
+    """Arrays by kind and size."""
+    out = {}
+    for row in table.to_pylist():
+        out.setdefault((row["kind"], row["size"]), []).append(_unpack(row))
+    return out
+
+
+def _numbers(parts: list[tuple] | None, of: np.ndarray, width: int) -> list[np.ndarray]:
+    """The summed numbers of the keys ``of``, zeros for those without."""
+    if not parts:
+        return [np.zeros(len(of), np.int64)] * width
+    k, *sums = _sum(*[np.concatenate(x) for x in zip(*parts)])
+    at, there = _find(k, of)
+    return [np.where(there, x[at], 0) for x in sums]
+
+
+def _counts_of(x: np.ndarray) -> np.ndarray:
+    """How many counts are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(x, 5), minlength=6)[1:5]
+
+
+def _merge_grams(folder: str, bits: int, depth: int, order: int, size: int):
+    """The step of a shard for its grams of ``size`` words; shorter ones are merged and passed on."""
+
+    def rows(held: dict, shard: int) -> Iterator[tuple]:
+        for short in range(1, size):
+            if parts := held.get((_GRAM, short)):
+                yield from _blobs(_GRAM, short, *_merged(_GRAM, short, parts, bits), bits)
+        if (_GRAM, size) not in held:
+            return
+        key, (v, w, count) = _merged(_GRAM, size, held.pop((_GRAM, size)), bits)
+        context = []
+        if size < order:
+            raw, narrow = count, _narrow(key)
+            # how often each gram is followed, in all: its own count, if the longer grams have theirs
+            context = _numbers(held.get((_FIRST, size)), narrow, 3 if size == order - 1 else 4)
+            context = [*context[:3], raw if size == order - 1 else context[3]]
+            before, = _numbers(held.get((_SECOND, size)), narrow, 1)
+            count = np.where(before > 0, before, raw)
+        bigs, arrays = zip(*map(_clipped, [count, *context]))
+        path = _save(folder, f"grams-{size}-{shard:05d}", key, *[x for three in arrays for x in three])
+        yield shard, bits, _FILE, size, len(key), json.dumps([path, len(key), *bigs]).encode(), b"", b"", b"", b""
+        yield shard, bits, _COUNTS, size, 0, _counts_of(count).astype("<u8").tobytes(), b"", b"", b"", b""
+        total = [count] if size < order else []
+        first = _sum(v, count == 1, count == 2, count >= 3, *total)
+        yield from _blobs(_FIRST, size - 1, first[0], first, depth)
+        second = _sum(w, np.ones(len(w), np.int64))
+        yield from _blobs(_SECOND, size - 1, second[0], second, depth)
 
     def merge(table: pa.Table) -> pa.Table:
-        v, w, c, words, counts = [], [], [], [], []
-        for row in table.to_pylist():
-            if row["kind"] == _WORD:
-                words.append(_unzip(row["a"], "<u8", 8))
-                counts.append(_unzip(row["b"], "<u8"))
-                continue
-            v.append(np.repeat(_unzip(row["a"], "<u8", 6), _unzip(row["b"], "<u4")))
-            w.append(_unzip(row["c"], "<u8", 6))
-            c.append(_unzip(row["d"], "<u4"))
-        shard, out = table.column("shard")[0].as_py(), []
-        if words:  # passed on, merged, to the word shards
-            key, count = _sum(np.concatenate(words), np.concatenate(counts))
-            out.append((shard, _WORD, len(key), _zip(key, 8), _zip(count.astype("<u8")), b"", b""))
-        if not v:
-            return pa.Table.from_batches([_rows(out)])
-        v, w, c = np.concatenate(v), np.concatenate(w), np.concatenate(c)
-        key = pair_key(v, w, bits)
-        order = np.argsort(key)
-        sorted_key = key[order]
-        first = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1]))
-        count = np.add.reduceat(c[order].astype(np.int64), first)
-        key, v, w = sorted_key[first], v[order[first]], w[order[first]]
-        big = np.flatnonzero(count > 255)
-        path = _save(folder, f"pairs-{shard:05d}", key, big.astype("<u8"), count[big].astype("<u8"), np.minimum(count, 255).astype(np.uint8))
-        of = np.bincount(np.minimum(count, 5), minlength=6)[1:5]
-        out += [(shard, _FILE, len(key), path.encode(), str(len(big)).encode(), b"", b""), (shard, _COUNTS, 0, of.astype("<u8").tobytes(), b"", b"", b"")]
-        first_word, one, two, more = _sum(v, count == 1, count == 2, count >= 3)
-        second_word, before = _sum(w, np.ones(len(w), np.int64))
-        for kind, words, stats in ((_FIRST, first_word, (one, two, more)), (_SECOND, second_word, (before,))):
-            target = (words >> np.uint64(64 - 2 * bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
-            at = np.searchsorted(target, np.arange(shards + 1))
-            for s, a, b in zip(range(shards), at, at[1:]):
-                if b > a:
-                    blobs = [_zip(x[a:b].astype("<u4")) for x in stats]
-                    out.append((s, kind, b - a, _zip(words[a:b], 6), *blobs, *[b""] * (3 - len(blobs))))
-        return pa.Table.from_batches([_rows(out)])
+        return pa.Table.from_batches([_rows(list(rows(_of_shard(table), table.column("shard")[0].as_py())))])
 
     return merge
 
 
-def _merge_words(folder: str):
+def _merge_words(folder: str, bits: int, order: int):
     def merge(table: pa.Table) -> pa.Table:
-        words, counts, first, second = [], [], [], []
-        for row in table.to_pylist():
-            if row["kind"] == _WORD:
-                words.append(_unzip(row["a"], "<u8", 8))
-                counts.append(_unzip(row["b"], "<u8"))
-            else:
-                stats = [_unzip(row[x], "<u4") for x in "bcd" if row[x]]
-                (first if row["kind"] == _FIRST else second).append((_unzip(row["a"], "<u8", 6), *stats))
-        shard = table.column("shard")[0].as_py()
-        key, count = _sum(np.concatenate(words), np.concatenate(counts))
+        shard, held = table.column("shard")[0].as_py(), _of_shard(table)
+        key, (_, count) = _merged(_GRAM, 1, held[_GRAM, 1], bits)
         narrow = _narrow(key)
-        stats = []
-        for parts, width in ((first, 3), (second, 1)):
-            if not parts:
-                stats += [np.zeros(len(key), np.int64)] * width
-                continue
-            k, *sums = _sum(*[np.concatenate(x) for x in zip(*parts)])
-            at = np.minimum(np.searchsorted(k, narrow), len(k) - 1)
-            stats += [np.where(k[at] == narrow, x[at], 0) for x in sums]
-        one, two, more, before = stats
-        path = _save(folder, f"words-{shard:05d}", key, count.astype("<u8"), *[x.astype("<u4") for x in (one, two, more, before)])
-        of = np.bincount(np.minimum(before, 5), minlength=6)[1:5]
+        one, two, more, *total = _numbers(held.get((_FIRST, 1)), narrow, 3 if order == 2 else 4)
+        before, = _numbers(held.get((_SECOND, 1)), narrow, 1)
+        path = _save(folder, f"words-{shard:05d}", key, *[x.astype("<u8") for x in (count, *(total or [count]), one, two, more, before)])
         # tokens of the training part: the start mark is none, the end token is one
-        total = int(count[key != np.uint64(START)].sum())
-        totals = np.array([*of, (before >= 3).sum(), before.sum(), total, (key != np.uint64(START)).sum()], "<u8")
-        return pa.Table.from_batches([_rows([(shard, _FILE, len(key), path.encode(), b"", b"", b""), (shard, _COUNTS, 0, totals.tobytes(), b"", b"", b"")])])
+        real = key != np.uint64(START)
+        totals = np.array([*_counts_of(before), (before >= 3).sum(), before.sum(), count[real].sum(), real.sum()], "<u8")
+        blank = [b""] * 4
+        return pa.Table.from_batches([_rows([(shard, bits, _FILE, 1, len(key), json.dumps([path, len(key)]).encode(), *blank), (shard, bits, _COUNTS, 1, 0, totals.tobytes(), *blank)])])
 
     return merge
 
 
+def _index(folder: str, name: str):
+    """The index file of a range of shards, and the sum of their numbers."""
+
+    def write(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        part = rows[0]["shard"] // INDEXED
+        files = {r["shard"]: json.loads(r["a"]) for r in rows if r["kind"] == _FILE}
+        fs, path = common.filesystem(f"{folder}/{name}-{part}")
+        with fs.open_output_stream(path, compression=None) as f:
+            f.write(json.dumps(files).encode())
+        sums = sum(np.frombuffer(r["a"], "<u8").astype(np.int64) for r in rows if r["kind"] == _COUNTS)
+        return pa.table({"numbers": pa.array([sums.tolist()], pa.list_(pa.int64())), "part": pa.array([part], pa.int32())})
+
+    return write
+
+
 def discounts(of: np.ndarray) -> np.ndarray:
     """Discounts of counts 0, 1, 2, and 3 and more, from the numbers of counts 1 to 4."""
     n1, n2, n3, n4 = (float(x) for x in of)
@@ -268,52 +391,45 @@ def discounts(of: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Files and totals of a model; small, and shipped to the workers with each task.
-
-    ``words`` and ``pairs``: (path, entries, large counts) of each shard.
-    """
+    """Totals of a model and where its files are; small, and shipped to the workers with each task."""
 
+    folder: str
+    name: str
     bits: int
-    words: dict[int, tuple[str, int]]
-    pairs: dict[int, tuple[str, int, int]]
-    pair_discounts: np.ndarray
-    word_discounts: np.ndarray
+    order: int
+    parts: dict[int, frozenset[int]]  # index files by size of gram
+    discounts: dict[int, np.ndarray]
     n_before: float
     back_off: float
     tokens: int
     vocabulary: int
 
 
-def fit(docs: DataFrame, folder: str) -> Model:
-    """The model of all rows of ``docs`` (text), in files under ``folder``."""
+def fit(docs: DataFrame, folder: str, order: int = 2, shard_bytes: int = SHARD_BYTES, fan: int = FAN_BITS) -> Model:
+    """The model of all rows of ``docs`` (text), in files under ``folder``. ``order``: words of the longest grams, 2 at least."""
     spark = docs.sparkSession
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = 0
-    while (SHARD_BYTES << (2 * bits)) < size or bits < 1:
+    bits = 1
+    while (shard_bytes << (2 * bits)) < size:
         bits += 1
-    # one shuffle of the counts; the word counts pass through the pair shards
-    counted = text.mapInArrow(_count(bits), _BLOB)
-    pairs = common.cut(spark, counted.groupBy("shard").applyInArrow(_merge_pairs(folder, bits), _BLOB))
-    stats = pairs.where(f"kind in ({_WORD}, {_FIRST}, {_SECOND})")
-    words = common.cut(spark, stats.groupBy("shard").applyInArrow(_merge_words(folder), _BLOB))
-    # two rows a shard
-    of = np.zeros(4)
-    pair_files, word_files, totals = {}, {}, np.zeros(8)
-    for row in pairs.where(f"kind in ({_FILE}, {_COUNTS})").collect():
-        if row["kind"] == _COUNTS:
-            of += np.frombuffer(row["a"], "<u8")
-        else:
-            pair_files[row["shard"]] = (bytes(row["a"]).decode(), row["n"], int(bytes(row["b"])))
-    for row in words.collect():
-        if row["kind"] == _COUNTS:
-            totals += np.frombuffer(row["a"], "<u8")
-        else:
-            word_files[row["shard"]] = (bytes(row["a"]).decode(), row["n"])
-    lower = discounts(totals[:4])
+    # one shuffle of the counts; those of shorter grams pass through the shards of the longer ones
+    blobs = text.mapInArrow(_count(bits, min(bits, fan), order), _BLOB)
+    name, parts, numbers = uuid.uuid4().hex, {}, {}
+    for m in range(order, 0, -1):
+        merge = _merge_grams(folder, bits, min(bits, fan), order, m) if m > 1 else _merge_words(folder, bits, order)
+        merged = common.cut(spark, _to_shards(blobs, bits, fan, size).groupBy("shard").applyInArrow(merge, _BLOB))
+        done = merged.where(F.col("kind").isin(_FILE, _COUNTS)).groupBy(F.floor(F.col("shard") / INDEXED).alias("part"))
+        # a row for each index file
+        rows = done.applyInArrow(_index(folder, f"index-{name}-{m}"), "numbers array<bigint>, part int").collect()
+        parts[m] = frozenset(r["part"] for r in rows)
+        numbers[m] = np.sum([r["numbers"] for r in rows], axis=0) if rows else np.zeros(8, np.int64)
+        blobs = merged.where(~F.col("kind").isin(_FILE, _COUNTS))
+    found = {m: discounts(x[:4]) for m, x in numbers.items()}
+    totals, lower = numbers[1], found[1]
     n_before = max(float(totals[5]), 1.0)
     back_off = float(lower[1] * totals[0] + lower[2] * totals[1] + lower[3] * totals[4]) / n_before if totals[5] else 1.0
-    return Model(bits, word_files, pair_files, discounts(of), lower, n_before, back_off, int(totals[6]), int(totals[7]))
+    return Model(folder, name, bits, order, parts, found, n_before, back_off, int(totals[6]), int(totals[7]))
 
 
 #: Bytes of files of a remote store that a worker holds.
@@ -354,44 +470,68 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == asked
 
 
+_indexes: dict[str, dict[int, list]] = {}
+
+
+def _by_count(d: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return d[np.minimum(count, 3).astype(np.int64)]
+
+
 class Reader:
     """Look-ups in a model's files."""
 
     def __init__(self, model: Model):
         self.model = model
 
-    def _shards(self, asked: np.ndarray):
-        bits = self.model.bits
-        cuts = np.searchsorted(asked, np.arange(1, 1 << (2 * bits), dtype=np.uint64) << np.uint64(64 - 2 * bits))
-        return zip(range(1 << (2 * bits)), np.append(0, cuts), np.append(cuts, len(asked)))
+    def _files(self, asked: np.ndarray, size: int) -> Iterator[tuple[int, int, list]]:
+        """(first, end, file) of the shards of sorted keys."""
+        shard = (asked >> np.uint64(64 - 2 * self.model.bits)).astype(np.int64)
+        cuts = _runs(shard)
+        for a, b in zip(cuts, np.append(cuts[1:], len(asked))):
+            file = self._index(size, int(shard[a]) // INDEXED).get(int(shard[a]))
+            if file:
+                yield a, b, file
+
+    def _index(self, size: int, part: int) -> dict[int, list]:
+        m = self.model
+        if part not in m.parts[size]:
+            return {}
+        path = f"{m.folder}/index-{m.name}-{size}-{part}"
+        if path not in _indexes:
+            while len(_indexes) > 64:
+                _indexes.pop(next(iter(_indexes)))
+            fs, at = common.filesystem(path)
+            with fs.open_input_stream(at, compression=None) as f:
+                _indexes[path] = {int(k): x for k, x in json.loads(f.read()).items()}
+        return _indexes[path]
 
     def words(self, asked: np.ndarray) -> np.ndarray:
-        """Rows count, followers seen once, twice, more, predecessors; a column each sorted key."""
-        out = np.zeros((5, len(asked)))
-        for shard, a, b in self._shards(asked):
-            if b > a and shard in self.model.words:
-                path, n = self.model.words[shard]
-                raw = _mapped(path)
-                at, there = _find(raw[: 8 * n].view("<u8"), asked[a:b])
-                out[0, a:b] = np.where(there, raw[8 * n : 16 * n].view("<u8")[at], 0)
-                for k in range(4):
-                    out[k + 1, a:b] = np.where(there, raw[(16 + 4 * k) * n : (20 + 4 * k) * n].view("<u4")[at], 0)
+        """Rows count, count as a context, followers seen once, twice, more, predecessors; a column each sorted key."""
+        out = np.zeros((6, len(asked)))
+        for a, b, (path, n) in self._files(asked, 1):
+            raw = _mapped(path).view("<u8")
+            at, there = _find(raw[:n], asked[a:b])
+            for k in range(6):
+                out[k, a:b] = np.where(there, raw[(k + 1) * n : (k + 2) * n][at], 0)
         return out
 
-    def pairs(self, asked: np.ndarray) -> np.ndarray:
-        """Count of each sorted pair key."""
-        out = np.zeros(len(asked))
-        for shard, a, b in self._shards(asked):
-            if b > a and shard in self.model.pairs:
-                path, n, big = self.model.pairs[shard]
-                raw = _mapped(path)
-                at, there = _find(raw[: 8 * n].view("<u8"), asked[a:b])
-                count = raw[8 * n + 16 * big :][at].astype(np.float64)
-                large = np.flatnonzero(there & (count == 255))
-                if len(large) and big:
-                    i, found = _find(raw[8 * n : 8 * n + 8 * big].view("<u8"), at[large].astype(np.uint64))
-                    count[large] = np.where(found, raw[8 * n + 8 * big : 8 * n + 16 * big].view("<u8")[i], count[large])
-                out[a:b] = np.where(there, count, 0)
+    def grams(self, asked: np.ndarray, size: int) -> np.ndarray:
+        """Rows count and, below the model's order, followers seen once, twice, more, count as a context."""
+        out = np.zeros((5 if size < self.model.order else 1, len(asked)))
+        for a, b, (path, n, *bigs) in self._files(asked, size):
+            raw = _mapped(path)
+            at, there = _find(raw[: 8 * n].view("<u8"), asked[a:b])
+            base = 8 * n
+            for k, big in enumerate(bigs):
+                places, values = (raw[base + 8 * i * big : base + 8 * (i + 1) * big] for i in (0, 1))
+                got = raw[base + 16 * big : base + 16 * big + n][at].astype(np.float64)
+                large = np.flatnonzero(there & (got == 255))
+                if len(large):
+                    # copies: what stands before them may leave them unaligned
+                    i, _ = _find(np.frombuffer(places.tobytes(), "<u8"), at[large].astype(np.uint64))
+                    got[large] = np.frombuffer(values.tobytes(), "<u8")[i]
+                out[k, a:b] = np.where(there, got, 0)
+                base += 16 * big + n
         return out
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -400,19 +540,24 @@ class Reader:
         w, v, counts, firsts = tokens(column)
         unique, place = np.unique(np.concatenate([w, [np.uint64(START)]]), return_inverse=True)
         stats = self.words(unique)
-        count, before = stats[0], stats[4]
-        lower = m.word_discounts[np.minimum(before, 3).astype(np.int64)]
-        p_word = np.maximum(before - lower, 0) / m.n_before + m.back_off / (m.vocabulary + 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g = np.where(count > 0, (stats[1] * m.pair_discounts[1] + stats[2] * m.pair_discounts[2] + stats[3] * m.pair_discounts[3]) / count, 1.0)
+        count, before = stats[0], stats[5]
+        p_word = np.maximum(before - _by_count(m.discounts[1], before), 0) / m.n_before + m.back_off / (m.vocabulary + 1)
         w_at = place[:-1]
         v_at = np.empty_like(w_at)
         v_at[1:] = w_at[:-1]
         v_at[firsts] = place[-1]
-        keys, key_at = np.unique(pair_key(_narrow(v), _narrow(w), m.bits), return_inverse=True)
-        pair = self.pairs(keys)[key_at]
-        own = np.maximum(pair - m.pair_discounts[np.minimum(pair, 3).astype(np.int64)], 0)
-        p = own / np.maximum(count[v_at], 1) + g[v_at] * p_word[w_at]
+        p = p_word[w_at]
+        contexts = stats[1:5][:, v_at]  # of each token: count, followers seen once, twice, more
+        for size, places, prefix, suffix in _grams(w, v, np.arange(len(w)) - np.repeat(firsts, counts), m.order, m.bits):
+            keys, key_at = np.unique(gram_key(prefix, suffix, m.bits), return_inverse=True)
+            found = self.grams(keys, size)
+            here = contexts[:, places]
+            d, c = m.discounts[size], found[0][key_at]
+            left = np.where(here[0] > 0, (here[1:4] * d[1:4, None]).sum(axis=0) / np.maximum(here[0], 1), 1.0)
+            p[places] = np.maximum(c - _by_count(d, c), 0) / np.maximum(here[0], 1) + left * p[places]
+            if size < m.order:  # a gram is the context of the token behind it
+                contexts = np.zeros((4, len(w) + 1))
+                contexts[:, places + 1] = found[[4, 1, 2, 3]][:, key_at]
         c = count[w_at]
         base = np.log10((c + 1) / (m.tokens + m.vocabulary + 1))
         total = lambda x: np.add.reduceat(x, firsts) if len(x) else x

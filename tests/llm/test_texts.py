@@ -184,47 +184,58 @@ def test_language_id(spark, docs, empty):
     assert all(r.lang_pred == "und" and r.score == 0 for r in none) and language_id.predict(empty, *fitted).count() == 0
 
 
-def slow_model(train, text):
-    """log10 probability of a text under interpolated modified Kneser-Ney pairs."""
+def slow_model(train, text, order=2):
+    """(tokens, known, N, base, log10 probability) of a text under interpolated modified Kneser-Ney grams."""
     def toks(t):
         return [*WORD.findall(lower(t)), "</s>"]
 
-    uni, big = Counter(), Counter()
+    raw = {m: Counter() for m in range(1, order + 1)}
     for t in train:
-        w = toks(t)
-        uni.update(w)
-        big.update(zip(["<s>", *w], w))
-    follows, before = defaultdict(Counter), Counter()
-    for (v, w), c in big.items():
-        follows[v][min(c, 3)] += 1
-        before[w] += 1
-    of = lambda c: [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
-    d, e = language_model.discounts(np.array(of(big))), language_model.discounts(np.array(of(before)))
-    n, total, v_size = sum(before.values()), sum(uni.values()), len(uni)
-    back = sum(e[min(c, 3)] for c in before.values()) / n
-    own = base = known = 0
-    w = toks(text)
-    for v, x in zip(["<s>", *w], w):
-        low = max(before[x] - e[min(before[x], 3)], 0) / n + back / (v_size + 1)
-        c_v = len(train) if v == "<s>" else uni[v]
-        p = low if not c_v else max(big[v, x] - d[min(big[v, x], 3)], 0) / c_v + sum(d[k] * m for k, m in follows[v].items()) / c_v * low
-        own += math.log10(p)
-        base += math.log10((uni[x] + 1) / (total + v_size + 1))
-        known += uni[x] > 0
-    return len(w), known, total, base, own
-
-
-def test_language_model(spark, rows, docs, empty):
-    model = language_model.fit(docs.where(~language_model.held_out(docs["doc_id"])), fresh_dir(spark, "m"))
+        w = ["<s>", *toks(t)]
+        for m in raw:
+            raw[m].update(tuple(w[i : i + m]) for i in range(len(w) - m + 1))
+    counts = {order: raw[order]}
+    for m in range(order - 1, 0, -1):
+        before = Counter(g[1:] for g in counts[m + 1])
+        counts[m] = before if m == 1 else Counter({g: c if g[0] == "<s>" else before[g] for g, c in raw[m].items()})
+    d, follows, total = {}, {}, {}
+    for m, c in counts.items():
+        d[m] = language_model.discounts(np.array([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]))
+        follows[m], total[m] = defaultdict(Counter), Counter()
+        for g, x in c.items():
+            follows[m][g[:-1]][min(x, 3)] += 1
+            total[m][g[:-1]] += x
+    uni = Counter({g[0]: c for g, c in raw[1].items() if g[0] != "<s>"})
+    n_tokens, v_size = sum(uni.values()), len(uni)
+
+    def p(h, x):
+        m = len(h) + 1
+        low = 1 / (v_size + 1) if m == 1 else p(h[1:], x)
+        if not total[m][h]:
+            return low
+        c = counts[m][(*h, x)]
+        return max(c - d[m][min(c, 3)], 0) / total[m][h] + sum(d[m][k] * n for k, n in follows[m][h].items()) / total[m][h] * low
+
+    w = ["<s>", *toks(text)]
+    own = sum(math.log10(p(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(1, len(w)))
+    base = sum(math.log10((uni[x] + 1) / (n_tokens + v_size + 1)) for x in w[1:])
+    return len(w) - 1, sum(uni[x] > 0 for x in w[1:]), n_tokens, base, own
+
+
+@pytest.mark.parametrize(("order", "shard_bytes", "fan"), [(2, language_model.SHARD_BYTES, 6), (3, language_model.SHARD_BYTES, 6), (2, 4000, 1), (3, 4000, 1), (4, 4000, 2)])
+def test_language_model(spark, rows, docs, empty, order, shard_bytes, fan):
+    """Orders 2 to 4; many shards in several steps of splitting."""
+    model = language_model.fit(docs.where(~language_model.held_out(docs["doc_id"])), fresh_dir(spark, "m"), order, shard_bytes, fan)
+    assert model.order == order and (model.bits > 2 or shard_bytes > 4000)
     train = [t for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     got = sorted(language_model.score(docs, model).collect(), key=repr)
     assert len(got) == len(rows)
-    expected = sorted(((i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, *slow_model(train, t)) for i, t, *_ in rows if i != 9), key=repr)
+    expected = sorted(((i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, *slow_model(train, t, order)) for i, t, *_ in rows if i != 9), key=repr)
     mine = sorted((tuple(r) for r in got if r.doc_id != 9), key=repr)
     for a, b in zip(sorted(mine, key=lambda r: (str(r[0]), r[2])), sorted(expected, key=lambda r: (str(r[0]), r[2]))):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
     assert all(r.perplexity >= 1 for r in language_model.perplexity(language_model.score(docs, model)).collect())
-    nothing = language_model.fit(empty, fresh_dir(spark, "m"))
+    nothing = language_model.fit(empty, fresh_dir(spark, "m"), order)
     assert all(math.isfinite(r.score) for r in language_model.score(docs, nothing).collect()) and language_model.score(empty, model).count() == 0
 
 

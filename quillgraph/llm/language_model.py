@@ -352,12 +352,13 @@ def _merge_words(folder: str, bits: int, order: int):
         narrow = _narrow(key)
         one, two, more, *total = _numbers(held.get((_FIRST, 1)), narrow, 3 if order == 2 else 4)
         before, = _numbers(held.get((_SECOND, 1)), narrow, 1)
-        path = _save(folder, f"words-{shard:05d}", key, *[x.astype("<u8") for x in (count, *(total or [count]), one, two, more, before)])
+        bigs, arrays = zip(*map(_clipped, [count, one, two, more, *(total or [count]), before]))
+        path = _save(folder, f"words-{shard:05d}", key, *[x for three in arrays for x in three])
         # tokens of the training part: the start mark is none, the end token is one
         real = key != np.uint64(START)
         totals = np.array([*_counts_of(before), (before >= 3).sum(), before.sum(), count[real].sum(), real.sum()], "<u8")
         blank = [b""] * 4
-        return pa.Table.from_batches([_rows([(shard, bits, _FILE, 1, len(key), json.dumps([path, len(key)]).encode(), *blank), (shard, bits, _COUNTS, 1, 0, totals.tobytes(), *blank)])])
+        return pa.Table.from_batches([_rows([(shard, bits, _FILE, 1, len(key), json.dumps([path, len(key), *bigs]).encode(), *blank), (shard, bits, _COUNTS, 1, 0, totals.tobytes(), *blank)])])
 
     return merge
 
@@ -505,19 +506,13 @@ class Reader:
                 _indexes[path] = {int(k): x for k, x in json.loads(f.read()).items()}
         return _indexes[path]
 
-    def words(self, asked: np.ndarray) -> np.ndarray:
-        """Rows count, count as a context, followers seen once, twice, more, predecessors; a column each sorted key."""
-        out = np.zeros((6, len(asked)))
-        for a, b, (path, n) in self._files(asked, 1):
-            raw = _mapped(path).view("<u8")
-            at, there = _find(raw[:n], asked[a:b])
-            for k in range(6):
-                out[k, a:b] = np.where(there, raw[(k + 1) * n : (k + 2) * n][at], 0)
-        return out
-
     def grams(self, asked: np.ndarray, size: int) -> np.ndarray:
-        """Rows count and, below the model's order, followers seen once, twice, more, count as a context."""
-        out = np.zeros((5 if size < self.model.order else 1, len(asked)))
+        """Numbers of sorted keys, a column each.
+
+        Rows: count and, below the model's order, followers seen once, twice, more, count as a
+        context; of words predecessors too.
+        """
+        out = np.zeros((6 if size == 1 else 5 if size < self.model.order else 1, len(asked)))
         for a, b, (path, n, *bigs) in self._files(asked, size):
             raw = _mapped(path)
             at, there = _find(raw[: 8 * n].view("<u8"), asked[a:b])
@@ -539,7 +534,7 @@ class Reader:
         m = self.model
         w, v, counts, firsts = tokens(column)
         unique, place = np.unique(np.concatenate([w, [np.uint64(START)]]), return_inverse=True)
-        stats = self.words(unique)
+        stats = self.grams(unique, 1)
         count, before = stats[0], stats[5]
         p_word = np.maximum(before - _by_count(m.discounts[1], before), 0) / m.n_before + m.back_off / (m.vocabulary + 1)
         w_at = place[:-1]
@@ -547,21 +542,26 @@ class Reader:
         v_at[1:] = w_at[:-1]
         v_at[firsts] = place[-1]
         p = p_word[w_at]
-        contexts = stats[1:5][:, v_at]  # of each token: count, followers seen once, twice, more
+        total, left = (x[v_at] for x in self._context(stats, 2))
         for size, places, prefix, suffix in _grams(w, v, np.arange(len(w)) - np.repeat(firsts, counts), m.order, m.bits):
             keys, key_at = np.unique(gram_key(prefix, suffix, m.bits), return_inverse=True)
             found = self.grams(keys, size)
-            here = contexts[:, places]
-            d, c = m.discounts[size], found[0][key_at]
-            left = np.where(here[0] > 0, (here[1:4] * d[1:4, None]).sum(axis=0) / np.maximum(here[0], 1), 1.0)
-            p[places] = np.maximum(c - _by_count(d, c), 0) / np.maximum(here[0], 1) + left * p[places]
-            if size < m.order:  # a gram is the context of the token behind it
-                contexts = np.zeros((4, len(w) + 1))
-                contexts[:, places + 1] = found[[4, 1, 2, 3]][:, key_at]
+            own = np.maximum(found[0] - _by_count(m.discounts[size], found[0]), 0)[key_at]
+            if size > 2:  # a gram is the context of the token behind it
+                total, left = total[places], left[places]
+            p[places] = own / total + left * p[places]
+            if size < m.order:
+                total, left = np.ones(len(w) + 1), np.ones(len(w) + 1)
+                total[places + 1], left[places + 1] = (x[key_at] for x in self._context(found, size + 1))
         c = count[w_at]
         base = np.log10((c + 1) / (m.tokens + m.vocabulary + 1))
-        total = lambda x: np.add.reduceat(x, firsts) if len(x) else x
-        return counts, total((c > 0).astype(np.int64)), total(base), total(np.log10(p))
+        text = lambda x: np.add.reduceat(x, firsts) if len(x) else x
+        return counts, text((c > 0).astype(np.int64)), text(base), text(np.log10(p))
+
+    def _context(self, found: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(count, 1 at least, and what is left for shorter grams) behind the contexts of grams of ``size``."""
+        total, d = np.maximum(found[4], 1), self.model.discounts[size]
+        return total, np.where(found[4] > 0, (found[1] * d[1] + found[2] * d[2] + found[3] * d[3]) / total, 1.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

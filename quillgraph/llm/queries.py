@@ -54,7 +54,7 @@ def op8_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import fit, held_out, score
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return score(docs, fit(docs.where(~held_out(docs["doc_id"])), fresh_dir(spark, "model")))
+    return score(docs, fit(docs.where(~held_out(docs["doc_id"])), fresh_dir(spark, "model"), order=3))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

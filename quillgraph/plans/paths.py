@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import appended, cut
 
 MOST_ROUNDS = 1000
 
@@ -129,10 +129,7 @@ def closure(edges: DataFrame, start=None) -> DataFrame:
         new = cut(spark, ahead)
         if not new.take(1):
             return reduce(DataFrame.union, [known for _, known in parts])
-        parts.append((1, new))
-        while len(parts) > 1 and parts[-1][0] == parts[-2][0]:
-            (n, x), (_, y) = parts.pop(), parts.pop()
-            parts.append((2 * n, cut(spark, x.union(y).repartition("a", "b"))))
+        parts = appended(spark, parts, new, "a", "b")
     raise RuntimeError(f"a path is longer than {MOST_ROUNDS} steps")
 
 

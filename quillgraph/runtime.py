@@ -33,6 +33,22 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder. Unlike a checkpoint it brings no constraints along, which grow from round to round in loops."""
+    path = fresh_dir(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def appended(spark: SparkSession, parts: list[tuple[int, DataFrame]], new: DataFrame, *keys: str) -> list[tuple[int, DataFrame]]:
+    """``parts`` (appended tables, their rows) and ``new``: equal numbers are merged, so a row is rewritten once a doubling."""
+    parts = [*parts, (1, new)]
+    while len(parts) > 1 and parts[-1][0] == parts[-2][0]:
+        (n, x), (_, y) = parts.pop(), parts.pop()
+        parts.append((2 * n, written(spark, x.union(y).repartition(*keys))))
+    return parts
+
+
 def _print(df: DataFrame):
     return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).collect()
 

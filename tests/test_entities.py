@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -42,33 +43,44 @@ def test_blocks_lose_no_pair(spark):
         assert got == {(a, b) for a in labels for b in labels if a < b and indel_ratio(a, b) >= threshold}
 
 
-def _sequential(labels, threshold):
-    """The definition: one mention after the other against all labels so far."""
+def _sequential(labels, threshold, known=()):
+    """The definition: one mention after the other against all labels so far. ``known``: (label, node)."""
     made = []
-    out = {}
-    for label in labels:
+    for label, node in sorted(known):
+        e = next((e for e in made if e["node"] == node), None)
+        if e is None:
+            made.append(e := {"node": node, "founder": None, "labels": []})
+        e["labels"].append(label)
+    out = {label: (node, None) for label, node in known}
+    for label in dict.fromkeys(x.lower() for x in labels):
+        if label in out:
+            continue
         best, found = 0, None
         for e in made:
-            for known in e["labels"]:
-                score = indel_ratio(known.lower(), label.lower())
+            for other in e["labels"]:
+                score = indel_ratio(other, label)
                 if score > best:
                     best, found = score, e
         if found is None or best < threshold:
-            found = {"founder": label.lower(), "labels": []}
-            made.append(found)
-        if label.lower() not in [x.lower() for x in found["labels"]]:
-            found["labels"].append(label)
-        out.setdefault(label.lower(), found["founder"])
+            made.append(found := {"node": None, "founder": label, "labels": []})
+        found["labels"].append(label)
+        out[label] = (found["node"], found["founder"])
     return out
 
 
-def test_resolution_is_the_sequential_one(spark):
+@pytest.mark.parametrize("in_task", [entities.IN_TASK, 0])
+def test_resolution_is_the_sequential_one(spark, in_task):
+    """In one pass a group and round by round, with ties, without and with known entities of several labels."""
     rng = random.Random(7)
-    for threshold in (70.0, 90.0):
-        labels = _labels(rng, 50)
+    for threshold, labels, known in (
+        (70.0, _labels(rng, 50), []),
+        (90.0, _labels(rng, 50), []),
+        (80.0, [f"item {rng.randint(100, 160)}" for _ in range(40)], [("item 107", "n1"), ("item 133", "n2"), ("item 155", "n1"), ("far away", "n3")]),
+    ):
         df = spark.createDataFrame([("g", "t", x, i) for i, x in enumerate(labels)], "kb string, etype string, label string, rank int")
-        got = {r.label: r.founder for r in entities.resolve(df, None, threshold).collect()}
-        assert got == _sequential(labels, threshold)
+        old = spark.createDataFrame([("g", "t", x, n) for x, n in known], "kb string, etype string, label string, node string")
+        got = {r.label: (r.node, r.founder) for r in entities.resolve(df, old if known else None, threshold, in_task).collect()}
+        assert got == _sequential(labels, threshold, [k for k in known if k[0] not in labels] + [k for k in known if k[0] in labels])
 
 
 def test_known_entities_win(spark):

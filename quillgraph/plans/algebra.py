@@ -235,22 +235,29 @@ class Compiler:
 
     def _path(self, t: Triple) -> Solutions:
         quads = self._scoped()
-        if isinstance(self.graph, Var):
-            raise ValueError("a property path inside GRAPH needs a fixed graph")
+        named = isinstance(self.graph, Var)
         start = t.s if isinstance(t.s, Term) else None
         end = t.o if isinstance(t.o, Term) else None
-        edges = paths.pairs(quads, t.p, start, end, apart=self.data.apart or self.graph is not None)
+        edges = paths.pairs(quads, t.p, start, end, apart=self.data.apart or self.graph is not None, named=named)
+        plain = lambda c: F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("v", "kind", "dt", "lang")]) if named else F.col(c)
         cols = {}
         if start:
-            edges = edges.where(F.col("a") == start.column())
+            edges = edges.where(paths.is_term("a", start))
         else:
-            cols[t.s.name] = F.col("a")
+            cols[t.s.name] = plain("a")
         if end:
-            edges = edges.where(F.col("b") == end.column())
+            edges = edges.where(paths.is_term("b", end))
         elif t.o in (t.s,):
             edges = edges.where(F.col("a") == F.col("b"))
         else:
-            cols[t.o.name] = F.col("b")
+            cols[t.o.name] = plain("b")
+        if named:
+            none = F.lit(None).cast("string")
+            g = F.struct(F.col("a.g").alias("v"), F.lit("iri").alias("kind"), none.alias("dt"), none.alias("lang"))
+            if self.graph.name in cols:
+                edges = edges.where(cols[self.graph.name] == g)
+            else:
+                cols[self.graph.name] = g
         return Solutions(edges.select(*[c.alias(n) for n, c in cols.items()]))
 
     def _bgp(self, node: Bgp) -> Solutions:

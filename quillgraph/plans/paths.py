@@ -56,10 +56,10 @@ class Not:
     backward: tuple | None = None
 
 
-def _ends(quads: DataFrame, apart: bool) -> DataFrame:
-    none = F.lit(None).cast("string")
-    a = F.struct(F.col("s").alias("v"), F.col("s_kind").alias("kind"), none.alias("dt"), none.alias("lang"))
-    b = F.struct(F.col("o").alias("v"), F.col("o_kind").alias("kind"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang"))
+def _ends(quads: DataFrame, apart: bool, named: bool = False) -> DataFrame:
+    none, g = F.lit(None).cast("string"), [F.col("g")] if named else []
+    a = F.struct(F.col("s").alias("v"), F.col("s_kind").alias("kind"), none.alias("dt"), none.alias("lang"), *g)
+    b = F.struct(F.col("o").alias("v"), F.col("o_kind").alias("kind"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang"), *g)
     out = quads.select(a.alias("a"), "p", b.alias("b"))
     return out if apart else out.distinct()
 
@@ -68,35 +68,43 @@ def _flip(df: DataFrame) -> DataFrame:
     return df.select(F.col("b").alias("a"), F.col("a").alias("b"))
 
 
-def pairs(quads: DataFrame, path, start=None, end=None, apart: bool = False) -> DataFrame:
-    """Pairs (a, b) that ``path`` connects, repeated as often as SPARQL's bags are. ``start``, ``end``: terms."""
+def is_term(node: str, term):
+    """Whether the node of a column is ``term``, in whichever graph."""
+    return F.struct(*[F.col(f"{node}.{x}") for x in ("v", "kind", "dt", "lang")]) == term.column()
+
+
+def pairs(quads: DataFrame, path, start=None, end=None, apart: bool = False, named: bool = False) -> DataFrame:
+    """Pairs (a, b) that ``path`` connects, repeated as often as SPARQL's bags are. ``start``, ``end``: terms.
+
+    ``named``: in each graph on its own; nodes then have a field ``g``.
+    """
     if isinstance(path, Link):
-        return _ends(quads.where(F.col("p") == path.iri), apart).select("a", "b")
+        return _ends(quads.where(F.col("p") == path.iri), apart, named).select("a", "b")
     if isinstance(path, Inverse):
-        return _flip(pairs(quads, path.path, end, start, apart))
+        return _flip(pairs(quads, path.path, end, start, apart, named))
     if isinstance(path, Sequence):
-        out = pairs(quads, path.parts[0], start, None, apart)
+        out = pairs(quads, path.parts[0], start, None, apart, named)
         if start is not None:
-            out = out.where(F.col("a") == start.column())
+            out = out.where(is_term("a", start))
         for k, part in enumerate(path.parts[1:], 2):
-            step = pairs(quads, part, None, end if k == len(path.parts) else None, apart).select(F.col("a").alias("m"), F.col("b").alias("c"))
+            step = pairs(quads, part, None, end if k == len(path.parts) else None, apart, named).select(F.col("a").alias("m"), F.col("b").alias("c"))
             out = out.join(step, F.col("b") == F.col("m")).select("a", F.col("c").alias("b"))
         return out
     if isinstance(path, Alternative):
-        out = pairs(quads, path.parts[0], start, end, apart)
+        out = pairs(quads, path.parts[0], start, end, apart, named)
         for part in path.parts[1:]:
-            out = out.union(pairs(quads, part, start, end, apart))
+            out = out.union(pairs(quads, part, start, end, apart, named))
         return out
     if isinstance(path, Not):
         out = None
         if path.forward is not None:
-            out = _ends(quads.where(~F.col("p").isin(*path.forward)) if path.forward else quads, apart).select("a", "b")
+            out = _ends(quads.where(~F.col("p").isin(*path.forward)) if path.forward else quads, apart, named).select("a", "b")
         if path.backward is not None:
-            back = _flip(_ends(quads.where(~F.col("p").isin(*path.backward)) if path.backward else quads, apart).select("a", "b"))
+            back = _flip(_ends(quads.where(~F.col("p").isin(*path.backward)) if path.backward else quads, apart, named).select("a", "b"))
             out = back if out is None else out.union(back)
         return out
     if isinstance(path, Repeat):
-        edges = pairs(quads, path.path, None, None, apart).distinct()
+        edges = pairs(quads, path.path, None, None, apart, named).distinct()
         if path.many:
             if start is None and end is not None:
                 out = _flip(closure(_flip(edges), end))
@@ -105,11 +113,13 @@ def pairs(quads: DataFrame, path, start=None, end=None, apart: bool = False) ->
         else:
             out = edges
         if path.least == 0:
-            every = _ends(quads, apart)
+            every = _ends(quads, apart, named)
             nodes = every.select("a").union(every.select("b")).distinct()
             fixed = [t for t in (start, end) if t is not None]
+            graphs = quads.select("g").distinct() if named else quads.sparkSession.range(1)
             for t in fixed:  # a fixed term reaches itself even if the graph lacks it
-                nodes = nodes.union(quads.sparkSession.range(1).select(t.column().alias("a")))
+                c = t.column()
+                nodes = nodes.union(graphs.select((F.struct(*[c[x].alias(x) for x in ("v", "kind", "dt", "lang")], "g") if named else c).alias("a")))
             out = out.union(nodes.select("a", F.col("a").alias("b"))).distinct()
         return out
     raise TypeError(f"not a path: {path!r}")
@@ -119,7 +129,7 @@ def closure(edges: DataFrame, start=None) -> DataFrame:
     """All pairs (a, b) with a way of one or more ``edges`` (a, b) from a to b."""
     spark = edges.sparkSession
     edges = cut(spark, edges)
-    found = cut(spark, edges.where(F.col("a") == start.column()) if start is not None else edges)
+    found = cut(spark, edges.where(is_term("a", start)) if start is not None else edges)
     new, parts = found, [(1, found)]  # (rounds, their pairs)
     for _ in range(MOST_ROUNDS):
         step = edges.select(F.col("a").alias("m"), F.col("b").alias("c"))

@@ -52,6 +52,9 @@ def run(graph, text):
         ("SELECT ?x ?y { ?x ^n:knows ?y FILTER(?x = n:c) }", [("c", "b")]),
         ("SELECT ?o { n:a !(n:knows|n:age) ?o }", [("Ann",)]),
         ("SELECT ?g { GRAPH ?g { n:c ?p ?o } }", [("g2",), ("g2",)]),
+        ("SELECT ?g ?y { GRAPH ?g { n:a n:knows+ ?y } }", [("g1", "b"), ("g1", "c"), ("g2", "b")]),
+        ("SELECT ?g ?y { GRAPH ?g { n:b n:knows* ?y } }", [("g1", "b"), ("g1", "c"), ("g2", "b")]),
+        ("SELECT ?g ?x { GRAPH ?g { ?x n:knows/n:knows n:d } }", [("g2", "d")]),
         ("SELECT ?x { GRAPH <g1> { ?x n:knows ?y } }", [("a",), ("b",)]),
         ("SELECT ?x ?v { VALUES (?x ?v) { (n:a 1) (UNDEF 2) } ?x n:name ?n }", [("a", "1"), ("a", "2"), ("b", "2")]),
         ("SELECT (SUM(?a) AS ?s) (AVG(?a) AS ?m) (COUNT(*) AS ?n) { ?x n:age ?a }", [("37", "18.5", "2")]),

@@ -58,8 +58,10 @@ def _applies(rule: dict, tag: str, attributes: dict) -> bool:
     tags, css, styles = rule.get("tags") or [], rule.get("class"), rule.get("styles") or []
     if css and css not in (attributes.get("class") or "").split():
         return False
+    if tag in tags or not styles:
+        return tag in tags
     style = re.sub(r"\s", "", attributes.get("style") or "").lower()
-    return tag in tags if not styles or tag in tags else any(re.sub(r"\s", "", s).lower() in style for s in styles)
+    return any(re.sub(r"\s", "", s).lower() in style for s in styles)
 
 
 class _Note(HTMLParser):
@@ -143,19 +145,43 @@ def parse_note(text: str, note: str, mapping: dict = MAPPING) -> list[dict]:
 
 
 _SCHEMA = "note string, id string, kind string, types array<string>, text string, level int, doc string, structure string, locator string"
+_LAYOUT = "note string, kind string, text string, inside string, locator string"
+_TYPES = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+#: Notes whose rows are held at once.
+_AT_ONCE = 500
 
 
-def annotations(notes: DataFrame, mapping: dict = MAPPING, parser: Callable[[str, str, dict], list[dict]] = parse_note) -> DataFrame:
-    """A row an annotation of ``notes`` (note, html). ``parser``: another with the same result."""
-    names = [x.split()[0] for x in _SCHEMA.split(", ")]
-    types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+def _parsed(notes: DataFrame, schema: str, rows: Callable[[str, str], list[dict]]) -> DataFrame:
+    """What ``rows`` gives for the note and the HTML of each row of ``notes`` (note, html)."""
+    names, types = zip(*(x.split() for x in schema.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"note": n, **x} for n, h in zip(batch.column("note").to_pylist(), batch.column("html").to_pylist()) if h for x in parser(h, n, mapping)]
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in zip(names, types)], names=names)
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(at, _AT_ONCE)
+                found = [r for n, h in zip(part.column("note").to_pylist(), part.column("html").to_pylist()) if h for r in rows(n, h)]
+                yield pa.record_batch([pa.array([r[k] for r in found], _TYPES[t]) for k, t in zip(names, types)], names=list(names))
+
+    return notes.select("note", "html").mapInArrow(run, schema)
+
+
+def annotations(notes: DataFrame, mapping: dict = MAPPING, parser: Callable[[str, str, dict], list[dict]] = parse_note) -> DataFrame:
+    """A row an annotation of ``notes`` (note, html). ``parser``: another with the same result."""
+    return _parsed(notes, _SCHEMA, lambda n, h: [{"note": n, **x} for x in parser(h, n, mapping)])
+
+
+def layout(notes: DataFrame, mapping: dict = MAPPING, parser: Callable[[str, str, dict], list[dict]] = parse_note) -> DataFrame:
+    """The annotations of ``notes`` with the texts of their structure (``inside``) and locator.
+
+    Links never leave a note, so the pass that parses it resolves them, without a join on names.
+    """
+
+    def rows(n: str, h: str) -> list[dict]:
+        found = parser(h, n, mapping)
+        text = {x["id"]: x["text"] for x in found}
+        return [{"note": n, "kind": x["kind"], "text": x["text"], "inside": text.get(x["structure"]), "locator": text.get(x["locator"])} for x in found]
 
-    return notes.select("note", "html").mapInArrow(run, _SCHEMA)
+    return _parsed(notes, _LAYOUT, rows)
 
 
 def in_context(key: str, context: dict) -> str:

@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity 0.8)."""
+    """One document, that of the smallest id, of each group of near copies (SimHash and MinHash of five-word shingles, similarity 0.8)."""
     return minhash.one_of_each(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands, then exact sets.
+"""Near copies by the Jaccard similarity of their word shingles: SimHash and MinHash, then exact sets.
 
 A text is the set of its runs of five words (or the run of all its words, if it has fewer), as
 64-bit hashes. Texts of equal sets are collapsed first; then only the texts that share a value are
@@ -7,6 +7,11 @@ scanned again for their sets, so the others' sets are never written. Each text h
 linked if the similarity is ``PERCENT`` or more. A pair of similarity s shares a value with
 probability 1 - (1 - s^4)^20: 0.99997 at 0.8, more above. No link is made without the exact check.
 
+SimHash comes first, by op3's operator: fingerprints of the same shingles, and multi-index hashing of
+all that are at most ``RADIUS`` bits apart. Most pairs near 0.8 are further apart than any radius
+that multi-index hashing can search, so fingerprints alone would lose them; the bands find those.
+Both only propose pairs.
+
 Of the texts that share a value, each is first compared with the one that shares values with most
 others. Pairs are then formed only between texts that these links leave in different components, and
 only where two exact bounds allow a link: both have enough shingles that occur in other texts too,
@@ -27,12 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 
 WORDS = 5
 PERCENT = 80
 BANDS = 20
 ROWS = 4
+#: Bits between fingerprints; three segments search up to five with balls of one bit.
+RADIUS = 5
+SEGMENTS = 3
 #: Longs of a set's sketch.
 SKETCH = 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -100,7 +108,7 @@ def _text(docs: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``t``, ``key``, ``n``, ``bands`` of every row."""
+    """``doc_id``, ``t``, ``key``, ``n``, ``bands``, ``fp`` of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bytescan import words as split
@@ -111,9 +119,10 @@ def scanned(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 keys, bands = signatures(s, counts)
                 held = np.append(0, np.cumsum(np.where(counts > 0, BANDS, 0))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(bands[counts > 0].ravel().view(np.int64)))
-                yield pa.record_batch([part.column("doc_id"), part.column("t"), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64)), lists], names=["doc_id", "t", "key", "n", "bands"])
+                fp = np.fromiter((simhash.fingerprint(x.as_py(), words) for x in part.column("text")), "<u8", part.num_rows)
+                yield pa.record_batch([part.column("doc_id"), part.column("t"), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64)), lists, pa.array(fp.view(np.int64))], names=["doc_id", "t", "key", "n", "bands", "fp"])
 
-    return _text(docs).select("doc_id", "t", "text").mapInArrow(common.freed(scan), "doc_id long, t long, key long, n long, bands array<long>")
+    return _text(docs).select("doc_id", "t", "text").mapInArrow(common.freed(scan), "doc_id long, t long, key long, n long, bands array<long>, fp long")
 
 
 def _sketch() -> list[str]:
@@ -184,12 +193,26 @@ def _possible(part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return part.join(mixed(part), "v").where(_reach("c", "n", "least", percent)).drop("least")
 
 
+def _by_fingerprint(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys in proportion to ``texts`` (key, fp): those of equal fingerprints with one of them, and op3's first links."""
+    of = texts.groupBy("fp").agg(F.min("key").alias("key"))
+    equal = texts.join(of.select("fp", F.col("key").alias("b")), "fp").select(F.col("key").alias("a"), "b")
+    linked = simhash.near_links(of.select("fp"), RADIUS, SEGMENTS).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    linked = linked.join(of.select(F.col("fp").alias("fa"), F.col("key").alias("a")), "fa").join(of.select(F.col("fp").alias("fb"), F.col("key").alias("b")), "fb")
+    return equal.union(linked.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``component_id`` (smallest id of all texts linked with it) of every row of ``docs``."""
     spark = docs.sparkSession
     common.shared_dir(spark)
     rows = common.settle(spark, scanned(docs, words))
-    texts = common.settle(spark, rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("t").alias("t"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    texts = common.settle(spark, rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("t").alias("t"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")))
+    near = common.settle(spark, _by_fingerprint(texts.select("key", "fp")))
     at = texts.select("key", "n", F.explode("bands").alias("v"))
     many = at.groupBy("v").agg(F.count("*").alias("many")).where("many > 1")
     shared = common.cut(spark, at.join(many, "v"))
@@ -197,17 +220,23 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     weight = shared.groupBy("key").agg(F.sum("many").alias("weight"))
     centre = shared.join(weight, "key").groupBy("v").agg(F.max(F.struct("weight", "key", "n")).alias("c"))
     shared = common.settle(spark, shared.join(centre, "v").select("v", "key", "n", F.col("c.key").alias("centre"), F.col("c.n").alias("centre_n")))
-    chosen = common.settle(spark, texts.join(shared.select("key").distinct(), "key", "left_semi").select("t").distinct())
+    chosen = common.settle(spark, texts.join(shared.select("key").union(_ends(near)).distinct(), "key", "left_semi").select("t").distinct())
     sets = common.settle(spark, shingled(docs, chosen, words))
     stars = shared.where("key <> centre").where(_reach("least(n, centre_n)", "n", "centre_n", percent)).select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
-    first = common.cut(spark, verified(stars, sets, percent))
+    first = common.cut(spark, verified(near.union(stars), sets, percent))
     joined = common.components(spark, first)
+    # all fingerprints near one another that these links leave apart
+    grouped = common.cut(spark, texts.select("key", "fp").join(joined, F.col("key") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "key").alias("g")))
+    more = common.settle(spark, simhash.links(grouped, RADIUS, SEGMENTS, "g", "key"))
+    lacking = common.settle(spark, texts.join(_ends(more), "key", "left_semi").join(sets, "key", "left_anti").select("t").distinct())
+    if lacking.take(1):
+        sets = sets.unionByName(common.settle(spark, shingled(docs, lacking, words)))
     part = shared.join(joined, F.col("key") == F.col("node"), "left").select("v", "key", "n", F.coalesce("root", "key").alias("g"))
     part = common.cut(spark, _possible(part, sets, percent).join(sets.select("key", *_sketch()), "key"))
     x, y = part.alias("x"), part.alias("y")
     fits = F.expr(f"x.v = y.v and x.key < y.key and x.g <> y.g and {_reach('least(x.c, y.c)', 'x.n', 'y.n', percent)} and {_near('x.', 'y.', 'x.n', 'y.n', percent)}")
     pairs = x.join(y, fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    rest = common.cut(spark, verified(pairs, sets, percent).join(joined.select(F.col("node").alias("a"), F.col("root").alias("ga")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("root").alias("gb")), "b", "left"))
+    rest = common.cut(spark, verified(pairs.union(more), sets, percent).join(joined.select(F.col("node").alias("a"), F.col("root").alias("ga")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("root").alias("gb")), "b", "left"))
     # the components found first are the nodes of the second run
     over = common.components(spark, rest.select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")))
     roots = texts.select("key", "first").join(joined, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("g"))

@@ -103,14 +103,16 @@ def near_links(fps: DataFrame, radius: int, segments: int) -> DataFrame:
     return stars.union(up.join(fps.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b"))
 
 
-def links(fps: DataFrame, radius: int = 4, segments: int = 3, group: str | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, segments: int = 3, group: str | None = None, name: str | None = None) -> DataFrame:
     """All pairs (a, b) of different rows of ``fps`` (fp) at most ``radius`` bits apart.
 
     With ``group``, pairs of that column's values instead, those of different rows that are connected.
+    With ``name``, pairs of that column's values, of rows of different groups; fingerprints may be equal.
     """
-    keep = "bit_count(a ^ b) <= {r} and a <> b".format(r=radius) + (" and ga <> gb" if group else "")
-    left = [F.col("fp").alias("a")] + ([F.col(group).alias("ga")] if group else [])
-    right = [F.col("fp").alias("b")] + ([F.col(group).alias("gb")] if group else [])
+    differ = ("na <> nb" if name else "a <> b") + (" and ga <> gb" if group else "")
+    keep = f"bit_count(a ^ b) <= {radius} and {differ}"
+    side = lambda x: [F.col("fp").alias(x)] + ([F.col(group).alias("g" + x)] if group else []) + ([F.col(name).alias("n" + x)] if name else [])
+    left, right = side("a"), side("b")
     probe = table = None
     for k, (first, bits) in enumerate(_segments(segments)):
         value = _part(F.col("fp"), first, bits)
@@ -119,7 +121,7 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 3, group: str | None
         probe, table = (p, t) if probe is None else (probe.union(p), table.union(t))
     x, y = probe.alias("x"), table.alias("y")
     out = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & F.expr(keep))
-    ends = ("ga", "gb") if group else ("a", "b")
+    ends = ("na", "nb") if name else ("ga", "gb") if group else ("a", "b")
     return out.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
 
 

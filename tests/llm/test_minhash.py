@@ -6,9 +6,10 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillgraph.llm import bytescan, minhash
+from quillgraph.llm import bytescan, minhash, simhash
 
 from .conftest import prose
 from .test_texts import lower, slow_components
@@ -65,6 +66,19 @@ def test_near_dedup_stage_keeps_what_brute_force_keeps(spark, rows):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
 
 
+def test_fingerprints_link_without_bands(spark, monkeypatch):
+    whole = minhash.scanned
+    monkeypatch.setattr(minhash, "scanned", lambda docs, words: whole(docs, words).withColumn("bands", F.array().cast("array<long>")))
+    texts = near_copy_texts()
+    sets = [shingles(t) for t in texts]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 5 and jaccard(sets[a], sets[b]) >= 0.8
+    roots = slow_components(range(len(texts)), near)
+    assert 15 < sum(i != r for i, r in roots.items()) < len(texts) - 12
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [roots[i] for i in range(len(texts))] == [r.component_id for r in sorted(minhash.near_copies(docs).collect())]
+
+
 def test_shingle_sets():
     texts = [None, "a b", "A  b\n", "a b c d e f a b c d e", "", "b a"]
     s, counts = minhash.shingle_sets(*bytescan.words(pa.array(texts)))
